@@ -50,9 +50,14 @@ def round_half_even(c: Column | str, digits: int = 0) -> Column:
 
 
 def fixed_decimals(c: Column | str, digits: int = 0) -> Column:
-    """Round half to even and print with exactly ``digits`` decimals; NULL stays NULL."""
+    """Round half to even and print with exactly ``digits`` decimals; NULL stays NULL.
+
+    The value is first rounded to eight more decimals, so that a tie does not depend on the
+    order in which a distributed mean was summed.
+    """
     c = as_col(c)
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits)))
+    exact = F.bround(F.round(c.cast("double"), digits + 8), digits)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", exact))
 
 
 def percent_text(c: Column | str, suffix: str = "\\%") -> Column:

@@ -651,12 +651,12 @@ _FEATURES_SQL = with_parts("players") + """, feat AS (
 SELECT Participant, GameTitle, unnest(['MI Experience', 'Mean Rate', 'Min. Rate', 'Max. Rate', 'Mean Pos. Feedback',
   'Mean Time (s)', 'False Positives (pr min)', 'Gender']) AS Feature,
   unnest([CASE WHEN mi_experience THEN 'Yes' ELSE 'No' END, concat(pm, ' \\%'), concat(pn, ' \\%'), concat(px, ' \\%'),
-  concat(pf, ' \\%'), coalesce(CAST(CAST(round_even(time_total, 0) AS BIGINT) AS VARCHAR), 'NA'),
-  coalesce(printf('%.2f', round_even(fp_rate_minute, 2)), 'NA'), gender]) AS value
-FROM (SELECT *, coalesce(CAST(CAST(round_even(mean_rate * 100, 0) AS BIGINT) AS VARCHAR), 'NA') AS pm,
-  coalesce(CAST(CAST(round_even(min_rate * 100, 0) AS BIGINT) AS VARCHAR), 'NA') AS pn,
-  coalesce(CAST(CAST(round_even(max_rate * 100, 0) AS BIGINT) AS VARCHAR), 'NA') AS px,
-  coalesce(CAST(CAST(round_even(mean_feedback * 100, 0) AS BIGINT) AS VARCHAR), 'NA') AS pf FROM players))
+  concat(pf, ' \\%'), coalesce(CAST(CAST(round_even(round(time_total, 8), 0) AS BIGINT) AS VARCHAR), 'NA'),
+  coalesce(printf('%.2f', round_even(round(fp_rate_minute, 10), 2)), 'NA'), gender]) AS value
+FROM (SELECT *, coalesce(CAST(CAST(round_even(round(mean_rate * 100, 8), 0) AS BIGINT) AS VARCHAR), 'NA') AS pm,
+  coalesce(CAST(CAST(round_even(round(min_rate * 100, 8), 0) AS BIGINT) AS VARCHAR), 'NA') AS pn,
+  coalesce(CAST(CAST(round_even(round(max_rate * 100, 8), 0) AS BIGINT) AS VARCHAR), 'NA') AS px,
+  coalesce(CAST(CAST(round_even(round(mean_feedback * 100, 8), 0) AS BIGINT) AS VARCHAR), 'NA') AS pf FROM players))
 """
 
 

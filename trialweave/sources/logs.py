@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,11 @@ def with_source_path(df: DataFrame, out: str = PATH) -> DataFrame:
     return df.withColumn(out, F.col("_metadata.file_path"))
 
 
+def _plain_path(path: Column) -> Column:
+    """Undo the percent coding of a scan's file path; a plus sign is itself there."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
 def _header_groups(spark: SparkSession, root: str, suffix: str) -> dict[str, list[str]]:
     """Header line to the files that start with it.
 
@@ -31,7 +36,7 @@ def _header_groups(spark: SparkSession, root: str, suffix: str) -> dict[str, lis
     receives file names, which it holds anyway to plan a scan.
     """
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}.csv").text(root)
-             .select("value", F.col("_metadata.file_path").alias("path"),
+             .select("value", _plain_path(F.col("_metadata.file_path")).alias("path"),
                      F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")))
     first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
     groups: dict[str, list[str]] = {}
@@ -74,7 +79,7 @@ def read_logs(spark: SparkSession, root: str, suffix: str, sep: str = ";", empty
                                  .alias(n) for n in names])
 
     if same_header:
-        names = [c for c in spark.read.options(sep=sep, header=True, quote='"', escape='"', **glob).csv(root).columns]
+        names = spark.read.options(sep=sep, header=True, quote='"', escape='"', **glob).csv(root).columns
         return scan(names, root, glob)
     groups = _header_groups(spark, root, suffix)
     if not groups:
@@ -87,7 +92,7 @@ def relative_path(df: DataFrame, root: str, col: str = PATH) -> DataFrame:
     """Make the path relative to the parent of ``root``, so that it starts with the root's name."""
     name = root.rstrip("/").rsplit("/", 1)[-1]
     tail = F.substring_index(as_col(col), f"/{name}/", -1)
-    return df.withColumn(col, F.concat(F.lit(f"{name}/"), F.url_decode(F.regexp_replace(tail, r"\+", "%2B"))))
+    return df.withColumn(col, F.concat(F.lit(f"{name}/"), _plain_path(tail)))
 
 
 def with_path_columns(df: DataFrame, root: str) -> DataFrame:
