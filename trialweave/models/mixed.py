@@ -130,34 +130,55 @@ def _search(f) -> float:
     return 0.0 if f(0.0) <= f(theta) else float(theta)
 
 
-def mixed_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str,
-                    same_rows_as: Sequence[str] = ()) -> MixedModel:
-    """Fit ``y ~ xs + (1 | group)``.
+@dataclass(frozen=True)
+class MixedStatistics:
+    """What the fits need to know of the data: one table for any number of models."""
+
+    cols: tuple[str, ...]
+    group: str
+    n: int
+    center: np.ndarray
+    scale: np.ndarray
+    sizes: np.ndarray
+    counts: np.ndarray
+    between: np.ndarray
+    total: np.ndarray
 
-    Rows with a missing value in ``y``, ``xs`` or ``same_rows_as`` drop out; give nested
-    models the union of their predictors in ``same_rows_as``.
+
+def mixed_statistics(df: DataFrame, cols: Sequence[str], group: str) -> MixedStatistics:
+    """Reduce the rows known in all of ``cols``: one pass for moments, one for the sums.
+
+    Columns are centred and scaled first, to keep the cross products well conditioned.
     """
-    xs = list(xs)
-    cols = [*xs, y]
-    wanted = [*cols, *[c for c in same_rows_as if c not in cols]]
-    rows = complete_rows(df, wanted, group)
-    # centre and scale first, to keep the cross products well conditioned
+    cols = list(cols)
+    rows = complete_rows(df, cols, group)
     moments = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    if moments["n"] <= len(cols) + 1:
+    if not moments["n"]:
         raise ValueError("too few complete rows for the model")
     center = [moments[f"m{i}"] for i in range(len(cols))]
     scale = [moments[f"s{i}"] or 1.0 for i in range(len(cols))]
     by_size = size_statistics(rows, cols, group, center, scale).collect()
-
     m = len(cols) + 1
-    sizes = np.array([r["n"] for r in by_size], dtype=float)
-    counts = np.array([r["groups"] for r in by_size], dtype=float)
-    between = np.array([_square(r, "b", m) for r in by_size])
-    total = sum(_square(r, "m", m) for r in by_size)
-    n = int(counts @ sizes)
-    theta = _search(lambda t: _profile(t, sizes, counts, between, total)[0])
-    dev, beta, rss, xx = _profile(theta, sizes, counts, between, total)
+    return MixedStatistics(
+        tuple(cols), group, moments["n"], np.array(center), np.array(scale),
+        np.array([r["n"] for r in by_size], dtype=float), np.array([r["groups"] for r in by_size], dtype=float),
+        np.array([_square(r, "b", m) for r in by_size]), sum(_square(r, "m", m) for r in by_size))
+
+
+def fit_mixed(stats: MixedStatistics, y: str, xs: Sequence[str]) -> MixedModel:
+    """Fit ``y ~ xs + (1 | group)`` from the statistics; no pass over the data."""
+    xs = list(xs)
+    n = stats.n
+    if n <= len(xs) + 2:
+        raise ValueError("too few complete rows for the model")
+    at = [stats.cols.index(c) for c in (*xs, y)]
+    pick = [0, *[i + 1 for i in at]]
+    between = stats.between[:, pick][:, :, pick]
+    total = stats.total[np.ix_(pick, pick)]
+    center, scale = stats.center[at], stats.scale[at]
+    theta = _search(lambda t: _profile(t, stats.sizes, stats.counts, between, total)[0])
+    dev, beta, rss, xx = _profile(theta, stats.sizes, stats.counts, between, total)
 
     # back to the original units: y = my + sy (b0 + sum b_i (x_i - m_i) / s_i)
     sy, my = scale[-1], center[-1]
@@ -172,14 +193,19 @@ def mixed_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str,
     cov = back @ (variance * np.linalg.inv(xx)) @ back.T
     fixed = total[:-1, :-1]
     mean_fit = (fixed[0] @ beta) / n
-    var_fixed = float(beta @ fixed @ beta - n * mean_fit**2) / (n - 1) * sy**2
+    var_fixed = float((beta @ fixed @ beta - n * mean_fit**2) / (n - 1) * sy**2)
     return MixedModel(
-        y=y, xs=tuple(xs), group=group, n=n, groups=int(counts.sum()), theta=theta,
-        deviance=dev + 2 * n * math.log(sy), var_group=theta**2 * variance * sy**2, var_residual=variance * sy**2,
-        terms=("(Intercept)", *xs), estimates=tuple(map(float, estimates)),
+        y=y, xs=tuple(xs), group=stats.group, n=n, groups=int(stats.counts.sum()), theta=theta,
+        deviance=dev + 2 * n * math.log(sy), var_group=float(theta**2 * variance * sy**2),
+        var_residual=float(variance * sy**2), terms=("(Intercept)", *xs), estimates=tuple(map(float, estimates)),
         std_errors=tuple(float(v) for v in np.sqrt(np.diag(cov))), var_fixed=var_fixed)
 
 
+def mixed_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> MixedModel:
+    """Fit one model. To compare models, reduce the data once with ``mixed_statistics``."""
+    return fit_mixed(mixed_statistics(df, [*xs, y], group), y, xs)
+
+
 @dataclass(frozen=True)
 class LikelihoodRatio:
     statistic: float

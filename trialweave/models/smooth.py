@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, stored
+from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, stored, within_bound
 
 # Spans of the published smoother, and the share of the x scale under which
 # a window counts as having a single x.
@@ -92,7 +92,10 @@ def running_line_smooth(df: DataFrame, y: str, x: str, keys: Sequence[str], tie:
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), tie)
-    rows = _with_ranks(rows.dropna(subset=[x, y]), y, x, tie, keys, max_rows)
+    rows = stored(rows.dropna(subset=[x, y]))
+    if max_rows is not None:  # one check; runs of tied x are parts of these groups
+        max_rows = within_bound(rows, keys, max_rows=max_rows)
+    rows = _with_ranks(rows, y, x, tie, keys, max_rows)
     rows = _pass(rows, x, tie, "_y", "_wide", WIDE_SPAN, keys, max_rows)
     rows = _pass(rows, x, tie, "_wide", "_narrow", NARROW_SPAN, keys, max_rows)
     return rows.groupBy(*keys, F.col(x).alias("x")).agg((F.max("_narrow") + F.max("_my")).alias("y"))

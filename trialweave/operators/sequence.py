@@ -151,7 +151,8 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start
 
     ``bucket`` are columns that never decrease along ``order`` inside ``keys`` (a leading
     order column, or a coarser form of it). Rows are numbered inside a bucket; the sizes of
-    the buckets before are added from a table with one row per bucket.
+    the buckets before are added from a table with one row per bucket. The input is read up
+    to three times, so give it a file scan or a stored table.
     """
     names = [f"_bucket{i}" for i in range(len(bucket))]
     rows = df.withColumns(dict(zip(names, bucket))) if names else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.missing import (na_count_if, na_max, na_mean, na_min, na_sum,
                                           only_value)
 from trialweave.operators.ratings import PLAYER_KEYS
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan
+from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, stored
 from trialweave.operators.sequence import SESSION_KEYS
 
 
@@ -53,14 +53,15 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n")
     return group_counts(distinct_values(df, keys, value), [value], out)
 
 
-def _quantile_rows(df, keys, value, probs, max_rows, more=None) -> DataFrame:
+def _quantile_rows(df, keys, value, probs, max_rows) -> DataFrame:
     """One row per (group, distinct value) with the group's quantiles on every row.
 
     Equal values are merged before anything is ordered; the counts are then summed along
     the values by an ordered scan, so no group is ever held as a whole.
     """
     n, upto = F.col("_n"), F.col("_upto")
-    histogram = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # stored, because the size check and the scan both read it
+    histogram = stored(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
 
     def at_rank(rank):
         return F.max(F.when((upto - n <= rank) & (rank < upto), F.col("_v")))
@@ -194,7 +195,7 @@ def member_lists(df: DataFrame, keys: Sequence[str], member: str, out: str, size
     A group with few members is one row (``chunk`` 0); a larger one has more rows, so no
     member is dropped and no cell grows with the data.
     """
-    members = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
+    members = stored(df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n")))
 
     def build(rows, scan):
         rows = scan.running_sum(rows, _at=F.lit(1))

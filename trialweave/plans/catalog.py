@@ -45,37 +45,42 @@ def query(sql: str | None = None, digits: int = 9):
 
 @query(with_parts("gaps") + f"SELECT event_id, {rnd('time_delta')} FROM gaps")
 def event_gaps(spark, d):
-    return sequence.gap_seconds(study.study_log(spark, d), ORDER).select("event_id", "time_delta")
+    log, bound = study.checked_log(spark, d)
+    return sequence.gap_seconds(log, ORDER, max_rows=bound).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT event_id, {rnd('''coalesce((epoch_us(Timestamp) - epoch_us(lag(Timestamp) OVER
 (PARTITION BY GameTitle, Participant, Condition ORDER BY Timestamp, event_id))) / 1e6, 0.0)''', 'time_delta')} FROM log""")
 def session_gaps(spark, d):
-    return sequence.gap_seconds(study.study_log(spark, d), ORDER, partition_by=KEYS).select("event_id", "time_delta")
+    log, bound = study.checked_log(spark, d)
+    return sequence.gap_seconds(log, ORDER, partition_by=KEYS, max_rows=bound).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT {K}, event_id, Event FROM (SELECT *, count(CASE WHEN Event = 'GameRunning' THEN 1 END)
 OVER (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS runs FROM log) WHERE runs = 1""")
 def gate_run(spark, d):
-    return sequence.gate_run(study.study_log(spark, d), ORDER).select(*KEYS, "event_id", "Event")
+    log, bound = study.checked_log(spark, d)
+    return sequence.gate_run(log, ORDER, max_rows=bound).select(*KEYS, "event_id", "Event")
 
 
 @query(with_parts("numbered") + f"SELECT {K}, event_id, InputWindowClosedID FROM numbered")
 def occurrence_id(spark, d):
-    return sequence.occurrence_id(study.study_log(spark, d), ORDER).select(*KEYS, "event_id", "InputWindowClosedID")
+    log, bound = study.checked_log(spark, d)
+    return sequence.occurrence_id(log, ORDER, max_rows=bound).select(*KEYS, "event_id", "InputWindowClosedID")
 
 
 @query(with_parts("log") + f"""SELECT event_id, last_value(InputWindow IGNORE NULLS) OVER (PARTITION BY {K}
 ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS window_state FROM log""")
 def window_state(spark, d):
-    return sequence.fill_down(study.study_log(spark, d), {"window_state": "InputWindow"}, ORDER, KEYS).select(
-        "event_id", "window_state")
+    log, bound = study.checked_log(spark, d)
+    return sequence.fill_down(log, {"window_state": "InputWindow"}, ORDER, KEYS, bound).select("event_id", "window_state")
 
 
 @query(with_parts("labelled") + f"""SELECT {K}, event_id, InputWindowClosedID, InputWindowClosedFill,
 InputWindowOrderFilled, Period FROM labelled""")
 def period_labels(spark, d):
-    return sequence.label_periods(study.study_log(spark, d), ORDER).select(
+    log, bound = study.checked_log(spark, d)
+    return sequence.label_periods(log, ORDER, max_rows=bound).select(
         *KEYS, "event_id", "InputWindowClosedID", "InputWindowClosedFill", "InputWindowOrderFilled", "Period")
 
 
@@ -120,14 +125,15 @@ def session_metrics_joined(spark, d):
 @query(with_parts("labelled") + """SELECT event_id, InputWindowClosedFill FROM labelled
 WHERE InputWindowClosedFill < (SELECT max(InputWindowClosedFill) FROM labelled)""")
 def below_global_max(spark, d):
-    log = sequence.label_periods(study.study_log(spark, d), ORDER).select("event_id", "InputWindowClosedFill")
+    log, bound = study.checked_log(spark, d)
+    log = sequence.label_periods(log, ORDER, max_rows=bound).select("event_id", "InputWindowClosedFill")
     return sessions.filter_below_global_max(log, "InputWindowClosedFill")
 
 
 @query(with_parts("metrics") + f"""SELECT {K}, row_number() OVER (ORDER BY {K}) AS session, totalTrials FROM metrics""")
 def numbered_sessions(spark, d):
-    table_ = sessions.trial_counts(study.study_log(spark, d))
-    return sequence.number_rows(table_, KEYS, "session", bucket=[F.col("GameTitle"), F.floor(F.col("Participant") / 1024)]
+    counts = stored(sessions.trial_counts(study.study_log(spark, d)))
+    return sequence.number_rows(counts, KEYS, "session", bucket=[F.col("GameTitle"), F.floor(F.col("Participant") / 1024)]
                                 ).select(*KEYS, "session", "totalTrials")
 
 
@@ -578,28 +584,30 @@ TESTS = [("perc_null", "perc_feedback"), ("perc_null", "perc_trial"), ("perc_nul
 PREDICTORS = ["rate_feedback", "rate_trial", "rate_fabInput", "is_kiwi"]
 
 
-def _model_rows(spark, d):
+def _fits(spark, d, names):
+    """Fit models that share a response from one reduction of the same complete rows."""
     rows = study.session_table(spark, d).withColumn("is_kiwi", sc.dummy("GameTitle", "Kiwi"))
-    return stored(rows.select("Participant", "PercNormalized", "FrustNormalized", *PREDICTORS))
+    rows = stored(rows.select("Participant", "PercNormalized", "FrustNormalized", *PREDICTORS))
+    stats = {y: mixed.mixed_statistics(rows, [*[p for p in PREDICTORS if p != y], y], "Participant")
+             for y in sorted({MODELS[n][0] for n in names})}
+    return {n: mixed.fit_mixed(stats[MODELS[n][0]], *MODELS[n]) for n in names}
 
 
-def _fit(rows, name, same_rows=True):
-    y, xs = MODELS[name]
-    shared = [p for p in PREDICTORS if p != y] if same_rows else []
-    return mixed.mixed_intercept(rows, y, xs, "Participant", same_rows_as=shared)
+@query(digits=6)
+def mixed_model(spark, d):
+    fits = _fits(spark, d, ["perc_null", "perc_feedback", "frust_feedbackgame"])
+    return spark.createDataFrame([m.fit_row(name) for name, m in fits.items()], mixed.FIT_SCHEMA)
 
 
 @query(digits=6)
-def mixed_model(spark, d):
-    rows = _model_rows(spark, d)
-    fits = [_fit(rows, name).fit_row(name) for name in ("perc_null", "perc_feedback", "frust_feedbackgame")]
-    return spark.createDataFrame(fits, mixed.FIT_SCHEMA)
+def mixed_coefficients(spark, d):
+    fits = _fits(spark, d, ["perc_feedbackfab", "frust_feedbackgame"])
+    return linear.stack_curves({name: m.coefficients(spark) for name, m in fits.items()}, label="model")
 
 
 @query(digits=6)
 def lr_test(spark, d):
-    rows = _model_rows(spark, d)
-    fits = {name: _fit(rows, name) for name in MODELS}
+    fits = _fits(spark, d, list(MODELS))
     out = []
     for small, large in TESTS:
         test = mixed.lr_test(fits[small], fits[large])
@@ -609,10 +617,9 @@ def lr_test(spark, d):
 
 @query(digits=6)
 def mixed_r2(spark, d):
-    rows = _model_rows(spark, d)
-    out = [(name, *mixed.mixed_r2(_fit(rows, name))) for name in
-           ("perc_fab", "perc_feedbackfab", "perc_trial", "frust_feedbackgame", "frust_feedback")]
-    return spark.createDataFrame(out, "model string, r2_marginal double, r2_conditional double")
+    fits = _fits(spark, d, ["perc_fab", "perc_feedbackfab", "perc_trial", "frust_feedbackgame", "frust_feedback"])
+    return spark.createDataFrame([(name, *mixed.mixed_r2(m)) for name, m in fits.items()],
+                                 "model string, r2_marginal double, r2_conditional double")
 
 
 def _smooth_pass(src, value, out, span):

@@ -104,10 +104,15 @@ def study_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_ratings(kiwi, hand, valid, max_rows=None)
 
 
+def checked_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    """The log, and its group bound by session and by day: one check for all its scans."""
+    log = study_log(spark, sf_dir)
+    return log, within_bound(log.withColumn("_day", F.date_trunc("DAY", "Timestamp")), SESSION_KEYS, ["_day"])
+
+
 def labelled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log with gaps and periods."""
-    log = study_log(spark, sf_dir)
-    bound = within_bound(log.withColumn("_day", F.date_trunc("DAY", "Timestamp")), SESSION_KEYS, ["_day"])
+    log, bound = checked_log(spark, sf_dir)
     return label_periods(gap_seconds(log, ORDER, max_rows=bound), ORDER, max_rows=bound)
 
 
