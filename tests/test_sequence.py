@@ -76,6 +76,15 @@ def test_sliced_scan_equals_window(skewed, name):
     same_rows(run(None), run(20))
 
 
+def test_sliced_rows_are_not_moved_again(skewed):
+    big = skewed.where("Participant = 7 and GameTitle = 'Kiwi' and Condition = '50A'")
+    stored = scans.stored_by_slice(big, 12, [F.col(c) for c in ORDER])
+    scan = scans.SliceScan(KEYS, ORDER, 20)
+    out = scan.last_known(scan.running_sum(stored, n=F.lit(1)), w=F.col("InputWindow"))
+    plan = plan_of(out)
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_gap_does_not_depend_on_the_bucket(skewed):
     day, hour = (sequence.gap_seconds(skewed, ORDER, bucket=b, max_rows=None).select("event_id", "time_delta")
                  for b in ("DAY", "HOUR"))

@@ -5,9 +5,10 @@ group in one task. ``ordered_scan`` therefore looks at the group sizes first:
 
 * groups within ``max_rows`` run as ordinary windows (``GroupScan``);
 * larger groups are range-partitioned on their full order, so that a slice holds
-  about ``max_rows`` rows whatever the keys are. ``SliceScan`` runs the window inside
-  each (group, slice) and adds what the earlier slices of the group carry in. The carry
-  table has one row per (group, slice), a few rows per slice.
+  about ``max_rows`` rows whatever the keys are, and stored once, partitioned by slice.
+  ``SliceScan`` runs the window inside each (group, slice) and adds what the earlier slices
+  of the group carry in. The carry table has one row per (group, slice), a few rows per
+  slice; it is stored and joined by broadcast. No step moves or writes the rows again.
 
 Both classes offer the same methods, so an operator is written once. The order must be
 total (end it with a unique column). Missing order values sort last.
@@ -49,6 +50,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_by_slice(df: DataFrame, n_slices: int, order: Sequence[Column]) -> DataFrame:
+    """Cut rows into slices along the order and store them partitioned by slice.
+
+    The slice is the partition of a range repartitioning. Its bounds come from a sample, so
+    it is fixed by storing it in the same job. Adaptive execution would hide the partitioning
+    of the stored rows from later plans and is off for this one job.
+    """
+    spark, flag = df.sparkSession, "spark.sql.adaptive.enabled"
+    sliced = (df.repartitionByRange(n_slices, *order).withColumn(SLICE, F.spark_partition_id())
+              .repartition(n_slices, SLICE))
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "false")
+    try:
+        return stored(sliced)
+    finally:
+        spark.conf.set(flag, before)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join where a missing key matches a missing key; the right keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -144,7 +163,8 @@ class SliceScan:
         return df.groupBy(*self._piece).agg(*[a.alias(out) for out, a in aggs.items()])
 
     def _with(self, df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return join_null_safe(df, _hint(side, self.carry_rows), keys)
+        # storing the small side keeps a chain of scans linear: it is never computed again
+        return join_null_safe(df, _hint(stored(side), self.carry_rows), keys)
 
     def _carry(self, df: DataFrame, pieces: DataFrame, carried: dict[str, Column]) -> DataFrame:
         side = pieces.select(*self._piece, *[c.alias(f"_c_{out}") for out, c in carried.items()])
@@ -152,7 +172,7 @@ class SliceScan:
 
     @staticmethod
     def _finish(df: DataFrame, cols) -> DataFrame:
-        return stored(df.drop(*[f"_c_{out}" for out in cols]))
+        return df.drop(*[f"_c_{out}" for out in cols])
 
     def running_sum(self, df: DataFrame, **cols: Column) -> DataFrame:
         before = self._slices.rowsBetween(Window.unboundedPreceding, -1)
@@ -189,7 +209,7 @@ class SliceScan:
 
     def whole(self, df: DataFrame, **aggs: Column) -> DataFrame:
         side = df.groupBy(*self.keys).agg(*[a.alias(out) for out, a in aggs.items()])
-        return self._finish(self._with(df, side, self.keys), ())
+        return self._with(df, side, self.keys)
 
     def first(self, df: DataFrame, **cols: Column) -> DataFrame:
         return self.whole(df, **{out: F.min_by(c, self._at) for out, c in cols.items()})
@@ -208,8 +228,6 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     marked = _hint(big.keys, big.groups)
     small_rows = join_null_safe(df, marked, keys, "left_anti")
     n_slices = -(-big.rows // max_rows)
-    sliced = stored(join_null_safe(df, marked, keys, "left_semi")
-                    .repartitionByRange(n_slices, *asc_last(*keys, *order))
-                    .withColumn(SLICE, F.spark_partition_id()))
+    sliced = stored_by_slice(join_null_safe(df, marked, keys, "left_semi"), n_slices, asc_last(*keys, *order))
     large = build(sliced, SliceScan(keys, order, n_slices + big.groups)).drop(SLICE)
     return build(small_rows, GroupScan(keys, order)).unionByName(large)

@@ -127,7 +127,7 @@ WHERE InputWindowClosedFill < (SELECT max(InputWindowClosedFill) FROM labelled)"
 def below_global_max(spark, d):
     log, bound = study.checked_log(spark, d)
     log = sequence.label_periods(log, ORDER, max_rows=bound).select("event_id", "InputWindowClosedFill")
-    return sessions.filter_below_global_max(log, "InputWindowClosedFill")
+    return sessions.filter_below_global_max(stored(log), "InputWindowClosedFill")
 
 
 @query(with_parts("metrics") + f"""SELECT {K}, row_number() OVER (ORDER BY {K}) AS session, totalTrials FROM metrics""")
