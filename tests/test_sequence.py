@@ -94,6 +94,17 @@ def test_gap_does_not_depend_on_the_bucket(skewed):
     same_rows(day, plain)
 
 
+def test_bucket_follows_the_rate(spark):
+    log = worked_log(spark)  # ten rows in twenty seconds
+    assert sequence.time_bucket(log, "Timestamp", 10**6) == "DAY"
+    assert sequence.time_bucket(log, "Timestamp", 10**4) == "HOUR"
+    assert sequence.time_bucket(log, "Timestamp", 100) == "MINUTE"
+
+
+def test_pipeline_above_the_bound(spark, small_dir):
+    same_rows(study.labelled_log(spark, small_dir), study.labelled_log(spark, small_dir, max_rows=5))
+
+
 def test_untimed_rows_get_no_gap(spark):
     log = worked_log(spark).withColumn("Timestamp", F.when(F.col("event_id") != 3, F.col("Timestamp")))
     gaps = {r.event_id: r.time_delta for r in sequence.gap_seconds(log, ORDER).collect()}

@@ -86,6 +86,7 @@ class Oversized:
     keys: DataFrame
     groups: int
     rows: int
+    max_rows: int
 
 
 def oversized_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> Oversized | None:
@@ -95,7 +96,7 @@ def oversized_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> Overs
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_rows)
     groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("_size")).first()
-    return Oversized(stored(sizes.drop("_size")), groups, rows) if groups else None
+    return Oversized(stored(sizes.drop("_size")), groups, rows, max_rows) if groups else None
 
 
 def within_bound(df: DataFrame, *key_sets: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> int | None:
@@ -217,17 +218,19 @@ class SliceScan:
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  build: Callable[[DataFrame, GroupScan | SliceScan], DataFrame],
-                 max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                 max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """Run ``build(rows, scan)`` on groups of bounded size and, sliced, on the larger ones.
 
-    ``max_rows=None`` skips the size check: the caller knows that every group is small.
+    The check reads the key columns of ``df`` once. It is skipped with ``max_rows=None``
+    (the caller knows that every group is small) or with the result of an earlier
+    ``oversized_groups`` over the same keys.
     """
-    big = None if max_rows is None else oversized_groups(df, keys, max_rows)
+    big = oversized_groups(df, keys, max_rows) if isinstance(max_rows, int) else max_rows
     if big is None:
         return build(df, GroupScan(keys, order))
     marked = _hint(big.keys, big.groups)
     small_rows = join_null_safe(df, marked, keys, "left_anti")
-    n_slices = -(-big.rows // max_rows)
+    n_slices = -(-big.rows // big.max_rows)
     sliced = stored_by_slice(join_null_safe(df, marked, keys, "left_semi"), n_slices, asc_last(*keys, *order))
     large = build(sliced, SliceScan(keys, order, n_slices + big.groups)).drop(SLICE)
     return build(small_rows, GroupScan(keys, order)).unionByName(large)

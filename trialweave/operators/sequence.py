@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.missing import as_col, asc_last, if_else_na, label_cascade
 from trialweave.functions.scalars import seconds_between
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan
+from trialweave.operators.scans import MAX_GROUP_ROWS, Oversized, join_null_safe, ordered_scan
 
 SESSION_KEYS = ("GameTitle", "Participant", "Condition")
 
@@ -19,16 +19,26 @@ WINDOW_CHANGE, OPEN, CLOSED = "InputWindowChange", "Open", "Closed"
 PRE_GAME, OPEN_PERIOD, REST_PERIOD, POST_GAME = "PreGame", "OpenPeriod", "RestPeriod", "PostGame"
 
 
+def time_bucket(df: DataFrame, ts: str, max_rows: int) -> str:
+    """Coarsest calendar unit whose average bucket is well inside the bound."""
+    rows, span = df.agg(F.count(ts), F.timestamp_diff("SECOND", F.min(ts), F.max(ts))).first()
+    for unit, seconds in (("DAY", 86_400), ("HOUR", 3_600)):
+        if rows * seconds <= (span or 0) * max_rows / 4:
+            return unit
+    return "MINUTE"
+
+
 def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta",
-                partition_by: Sequence[str] = (), bucket: str = "DAY",
+                partition_by: Sequence[str] = (), bucket: str | None = None,
                 max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Seconds since the previous event; the first event gets 0. ``order`` starts with the time.
 
     By default the previous event is the one before in the **whole** log, of whatever
     session; ``partition_by`` restricts it. The whole-log order never goes through one
     task: events are lagged inside calendar buckets, and the first event of a bucket takes
-    the last time of the bucket before, from a table with one row per bucket. Rows without
-    a time get 0 and take no part in the order.
+    the last time of the bucket before, from a table with one row per bucket. The bucket is
+    a day, an hour or a minute by the rate of the log; one that is still too large in a burst
+    is sliced. Rows without a time get 0 and take no part in the order.
     """
     ts = order[0]
     gap = F.coalesce(seconds_between(F.col("_prev"), F.col(ts)), F.lit(0.0))
@@ -37,10 +47,12 @@ def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta",
                               lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), max_rows)
         return lagged.withColumn(out, gap).drop("_prev")
 
+    if bucket is None:
+        bucket = "DAY" if max_rows is None else time_bucket(df, ts, max_rows)
     timed = df.where(F.col(ts).isNotNull()).withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
     lagged = ordered_scan(timed, ["_bucket"], order,
                           lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), max_rows)
-    # one row per bucket, so the window without a partition holds days, not events
+    # one row per bucket: the window without a partition holds calendar units, not events
     carry = (timed.groupBy("_bucket").agg(F.max(ts).alias("_last"))
              .select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_carry")))
     gaps = (join_null_safe(lagged, carry, ["_bucket"])
@@ -53,7 +65,7 @@ def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta",
 
 def between_markers(df: DataFrame, marker: Column, order: Sequence[str],
                     keys: Sequence[str] = SESSION_KEYS, run: int = 1,
-                    max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                    max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """Rows from the ``run``-th marker up to, not including, the next one.
 
     From the first row whose marker test is NULL on, the count is unknown and rows drop.
@@ -66,7 +78,7 @@ def between_markers(df: DataFrame, marker: Column, order: Sequence[str],
 
 
 def gate_run(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-             max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+             max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """The first game run of each session."""
     return between_markers(df, F.col("Event") == GAME_START, order, keys, 1, max_rows)
 
@@ -89,20 +101,20 @@ def _with_closed_id(rows, scan):
 
 
 def occurrence_id(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-                  max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                  max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """Add ``InputWindowClosedID``: the running number of each closed window of a session."""
     return ordered_scan(df, keys, order, _with_closed_id, max_rows)
 
 
 def fill_down(df: DataFrame, cols: dict[str, str | Column], order: Sequence[str], keys: Sequence[str],
-              max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+              max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """``{out: column}``: carry the last known value forward within the group."""
     filled = {out: as_col(c) for out, c in cols.items()}
     return ordered_scan(df, keys, order, lambda rows, scan: scan.last_known(rows, **filled), max_rows)
 
 
 def fill_down_up(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys: Sequence[str],
-                 max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                 max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """Carry the last known value forward, then the first known one backward."""
     def build(rows, scan):
         rows = scan.last_known(rows, **{f"_down_{c}": F.col(c) for c in cols})
@@ -114,7 +126,7 @@ def fill_down_up(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys:
 
 
 def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-                  max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                  max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
     """Add the window numbers, the filled trial order and the period of every event.
 
     New columns: ``InputWindowClosedID``, ``InputWindowClosedFill``, ``InputWindowOrderFilled``

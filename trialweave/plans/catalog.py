@@ -17,7 +17,7 @@ from trialweave.functions import missing as na
 from trialweave.functions import scalars as sc
 from trialweave.models import linear, mixed, ranks, smooth
 from trialweave.operators import cohorts, columns, ratings, report, sequence, sessions, summaries
-from trialweave.operators.scans import stored, within_bound
+from trialweave.operators.scans import stored
 from trialweave.plans import study
 from trialweave.plans.oracle import K, rnd, with_parts
 from trialweave.plans.study import ORDER, table
@@ -45,42 +45,43 @@ def query(sql: str | None = None, digits: int = 9):
 
 @query(with_parts("gaps") + f"SELECT event_id, {rnd('time_delta')} FROM gaps")
 def event_gaps(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.gap_seconds(log, ORDER, max_rows=bound).select("event_id", "time_delta")
+    checked = study.checked_log(spark, d)
+    return sequence.gap_seconds(checked.log, ORDER, max_rows=checked.max_rows).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT event_id, {rnd('''coalesce((epoch_us(Timestamp) - epoch_us(lag(Timestamp) OVER
 (PARTITION BY GameTitle, Participant, Condition ORDER BY Timestamp, event_id))) / 1e6, 0.0)''', 'time_delta')} FROM log""")
 def session_gaps(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.gap_seconds(log, ORDER, partition_by=KEYS, max_rows=bound).select("event_id", "time_delta")
+    checked = study.checked_log(spark, d)
+    return sequence.gap_seconds(checked.log, ORDER, partition_by=KEYS, max_rows=checked.sessions).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT {K}, event_id, Event FROM (SELECT *, count(CASE WHEN Event = 'GameRunning' THEN 1 END)
 OVER (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS runs FROM log) WHERE runs = 1""")
 def gate_run(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.gate_run(log, ORDER, max_rows=bound).select(*KEYS, "event_id", "Event")
+    checked = study.checked_log(spark, d)
+    return sequence.gate_run(checked.log, ORDER, max_rows=checked.sessions).select(*KEYS, "event_id", "Event")
 
 
 @query(with_parts("numbered") + f"SELECT {K}, event_id, InputWindowClosedID FROM numbered")
 def occurrence_id(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.occurrence_id(log, ORDER, max_rows=bound).select(*KEYS, "event_id", "InputWindowClosedID")
+    checked = study.checked_log(spark, d)
+    return sequence.occurrence_id(checked.log, ORDER, max_rows=checked.sessions).select(*KEYS, "event_id", "InputWindowClosedID")
 
 
 @query(with_parts("log") + f"""SELECT event_id, last_value(InputWindow IGNORE NULLS) OVER (PARTITION BY {K}
 ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS window_state FROM log""")
 def window_state(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.fill_down(log, {"window_state": "InputWindow"}, ORDER, KEYS, bound).select("event_id", "window_state")
+    checked = study.checked_log(spark, d)
+    return sequence.fill_down(checked.log, {"window_state": "InputWindow"}, ORDER, KEYS, checked.sessions).select(
+        "event_id", "window_state")
 
 
 @query(with_parts("labelled") + f"""SELECT {K}, event_id, InputWindowClosedID, InputWindowClosedFill,
 InputWindowOrderFilled, Period FROM labelled""")
 def period_labels(spark, d):
-    log, bound = study.checked_log(spark, d)
-    return sequence.label_periods(log, ORDER, max_rows=bound).select(
+    checked = study.checked_log(spark, d)
+    return sequence.label_periods(checked.log, ORDER, max_rows=checked.sessions).select(
         *KEYS, "event_id", "InputWindowClosedID", "InputWindowClosedFill", "InputWindowOrderFilled", "Period")
 
 
@@ -125,8 +126,8 @@ def session_metrics_joined(spark, d):
 @query(with_parts("labelled") + """SELECT event_id, InputWindowClosedFill FROM labelled
 WHERE InputWindowClosedFill < (SELECT max(InputWindowClosedFill) FROM labelled)""")
 def below_global_max(spark, d):
-    log, bound = study.checked_log(spark, d)
-    log = sequence.label_periods(log, ORDER, max_rows=bound).select("event_id", "InputWindowClosedFill")
+    checked = study.checked_log(spark, d)
+    log = sequence.label_periods(checked.log, ORDER, max_rows=checked.sessions).select("event_id", "InputWindowClosedFill")
     return sessions.filter_below_global_max(stored(log), "InputWindowClosedFill")
 
 

@@ -7,12 +7,14 @@ play the log's event names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import to_number
 from trialweave.operators.ratings import attach_ratings, prepare_ratings
-from trialweave.operators.scans import within_bound
+from trialweave.operators.scans import MAX_GROUP_ROWS, Oversized, oversized_groups
 from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, label_periods
 from trialweave.operators.sessions import experience_flags, session_rates, session_summary
 
@@ -104,16 +106,31 @@ def study_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_ratings(kiwi, hand, valid, max_rows=None)
 
 
-def checked_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
-    """The log, and its group bound by session and by day: one check for all its scans."""
+@dataclass(frozen=True)
+class CheckedLog:
+    """The log with what its scans need to know of its group sizes."""
+
+    log: DataFrame
+    max_rows: int | None
+    sessions: Oversized | None
+
+
+def checked_log(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> CheckedLog:
+    """A log below the bound needs no check, and its row count comes from the file footers.
+
+    Otherwise the large sessions are looked up once, on the raw log.
+    """
     log = study_log(spark, sf_dir)
-    return log, within_bound(log.withColumn("_day", F.date_trunc("DAY", "Timestamp")), SESSION_KEYS, ["_day"])
+    if log.count() <= max_rows:
+        return CheckedLog(log, None, None)
+    return CheckedLog(log, max_rows, oversized_groups(log, SESSION_KEYS, max_rows))
 
 
-def labelled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_log(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Log with gaps and periods."""
-    log, bound = checked_log(spark, sf_dir)
-    return label_periods(gap_seconds(log, ORDER, max_rows=bound), ORDER, max_rows=bound)
+    checked = checked_log(spark, sf_dir, max_rows)
+    gaps = gap_seconds(checked.log, ORDER, max_rows=checked.max_rows)
+    return label_periods(gaps, ORDER, max_rows=checked.sessions)
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
