@@ -120,3 +120,20 @@ def test_long_and_wide_again(spark):
     assert long.count() == 4
     wide = columns.pivot_wide(long, ["id"], "name", "value", ["a. b", "c"]).orderBy("id")
     assert [tuple(r) for r in wide.collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_seconds_ignore_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [("2024-03-10 01:59:59.5", "2024-03-10 03:00:00.25"), ("2024-03-11 00:00:00", "2024-03-09 23:59:59.999999")]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = one(spark, rows, "a string, b string",
+                  g=sc.seconds_between(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert out == [(3600.75,), (-86400.000001,)]
+
+
+def test_whole_numbers_print_plainly(spark):
+    df = spark.createDataFrame([(1.0, 1.5, "2.0")], "a double, b double, c string")
+    assert tuple(columns.all_text(df).first()) == ("1", "1.5", "2.0")

@@ -150,6 +150,11 @@ def test_plans(spark, small_dir):
     assert len(single) == 1  # the bucket table only
     after = gaps[gaps.index("SinglePartition"):]
     assert "HashAggregate" in after  # what goes through it is already one row per bucket
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # also without a broadcast the log is shuffled once: both joined sides need theirs, the carry one more
+        assert plan_of(sequence.gap_seconds(log, ORDER, max_rows=None)).count("Exchange hashpartitioning(_bucket") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     labels = plan_of(sequence.label_periods(log, ORDER, max_rows=None))
     assert labels.count("Exchange hashpartitioning") == 1
     summary = plan_of(sessions.session_summary(sequence.label_periods(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,14 @@ def paste_na(*cols: Column | str, sep: str = " ") -> Column:
     return F.concat_ws(sep, *[F.coalesce(as_col(c).cast("string"), F.lit("NA")) for c in cols])
 
 
+def plain_text(df: DataFrame, name: str) -> Column:
+    """A column as text; a whole number held as double prints without decimals."""
+    text = F.col(f"`{name}`").cast("string")
+    if dict(df.dtypes)[name] in ("double", "float"):
+        text = F.regexp_replace(text, r"\.0$", "")
+    return text.alias(name)
+
+
 def asc_last(*cols: Column | str) -> list[Column]:
     """Ascending sort keys with missing values at the end."""
     return [as_col(c).asc_nulls_last() for c in cols]

@@ -19,8 +19,15 @@ def parse_timestamp(c: Column | str, pattern: str = TIME_PATTERN) -> Column:
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Seconds as a double, at microsecond resolution; works for both timestamp types."""
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end)) / F.lit(1e6)
+    """Seconds as a double, exact to the microsecond.
+
+    Both columns must have the same timestamp type. For the type without time zone this is
+    wall-clock time, whatever the zone of the session.
+    """
+    gap = as_col(end) - as_col(start)
+    parts = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60}
+    whole = sum((F.date_part(F.lit(unit), gap).cast("bigint") * size for unit, size in parts.items()), F.lit(0))
+    return (whole + F.date_part(F.lit("SECOND"), gap)).cast("double")
 
 
 def to_number(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.functions.missing import as_col
+from trialweave.functions.missing import as_col, plain_text
 
 log = logging.getLogger(__name__)
 
@@ -44,7 +44,7 @@ def replace_column(df: DataFrame, target: str, source: str) -> DataFrame:
 
 
 def all_text(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    return df.select(*[plain_text(df, c) for c in df.columns])
 
 
 def union_by_name(*tables: DataFrame) -> DataFrame:

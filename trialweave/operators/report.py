@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.functions.missing import if_else_na, paste_na
+from trialweave.functions.missing import if_else_na, paste_na, plain_text
 from trialweave.functions.scalars import fixed_decimals, percent_text
 from trialweave.operators.columns import all_text, pivot_wide, unpivot
 from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe
@@ -52,12 +52,12 @@ def participant_blocks(players: DataFrame, bucket, width: int = 16,
     """
     people = players.groupBy("Participant").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     numbered = number_rows(people, ["Participant"], "_no", bucket=[bucket], max_rows=max_rows)
-    place = numbered.select(F.col("Participant").cast("string").alias("Participant"),
+    place = numbered.select(plain_text(numbered, "Participant"),
                             F.floor((F.col("_no") - 1) / width).alias("block"),
                             F.concat(F.lit("p"), ((F.col("_no") - 1) % width + 1)).alias("column"))
     # the naming row of each game comes from the same rows, so every block has one per game
     features = participant_features(players)
-    names = (players.select(F.col("Participant").cast("string").alias("Participant"), "GameTitle").distinct()
+    names = (players.select(plain_text(players, "Participant"), "GameTitle").distinct()
              .select("Participant", "GameTitle", F.lit("Participant").alias("Feature"),
                      F.col("Participant").alias("value")))
     placed = join_null_safe(features.unionByName(names), place, ["Participant"], "inner")
@@ -115,4 +115,4 @@ def ordered_series(sessions: DataFrame, values: Sequence[str], bucket,
     order = ["Participant", "ConditionOrder", "Condition"]
     rows = sessions.select("GameTitle", *order, *[v for v in values if v not in order])
     numbered = number_rows(rows, order, "position", start=0, keys=["GameTitle"], bucket=[bucket], max_rows=max_rows)
-    return numbered.withColumn("label", paste_na("Participant", "Condition"))
+    return numbered.withColumn("label", paste_na(plain_text(numbered, "Participant"), "Condition"))

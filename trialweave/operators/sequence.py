@@ -19,11 +19,14 @@ WINDOW_CHANGE, OPEN, CLOSED = "InputWindowChange", "Open", "Closed"
 PRE_GAME, OPEN_PERIOD, REST_PERIOD, POST_GAME = "PreGame", "OpenPeriod", "RestPeriod", "PostGame"
 
 
+UNIT_SECONDS = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60}
+
+
 def time_bucket(df: DataFrame, ts: str, max_rows: int) -> str:
     """Coarsest calendar unit whose average bucket is well inside the bound."""
     rows, span = df.agg(F.count(ts), F.timestamp_diff("SECOND", F.min(ts), F.max(ts))).first()
-    for unit, seconds in (("DAY", 86_400), ("HOUR", 3_600)):
-        if rows * seconds <= (span or 0) * max_rows / 4:
+    for unit in ("DAY", "HOUR"):
+        if rows * UNIT_SECONDS[unit] <= (span or 0) * max_rows / 4:
             return unit
     return "MINUTE"
 
@@ -49,13 +52,16 @@ def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta",
 
     if bucket is None:
         bucket = "DAY" if max_rows is None else time_bucket(df, ts, max_rows)
-    timed = df.where(F.col(ts).isNotNull()).withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
+    epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[ts].dataType)
+    timed = df.where(F.col(ts).isNotNull()).withColumn(
+        "_bucket", F.floor(seconds_between(epoch, F.col(ts)) / UNIT_SECONDS[bucket]))
     lagged = ordered_scan(timed, ["_bucket"], order,
                           lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), max_rows)
     # one row per bucket: the window without a partition holds calendar units, not events
     carry = (timed.groupBy("_bucket").agg(F.max(ts).alias("_last"))
              .select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_carry")))
-    gaps = (join_null_safe(lagged, carry, ["_bucket"])
+    # buckets are known, so plain equality will do and the lagged rows are already placed for it
+    gaps = (lagged.join(carry, "_bucket", "left")
             .withColumn("_prev", F.coalesce("_prev", "_carry"))
             .withColumn(out, gap)
             .drop("_bucket", "_prev", "_carry"))

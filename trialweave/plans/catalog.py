@@ -195,6 +195,7 @@ def low_performers(spark, d):
     return summaries.low_performers(study.session_table(spark, d))
 
 
+# Columns of the balance check.
 BALANCE = {"Con_50A": ("Condition", "50A"), "Con_50B": ("Condition", "50B"), "Con_100A": ("Condition", "100A"),
            "Con_100B": ("Condition", "100B"), "Gender_M": ("gender", "M"), "Gender_F": ("gender", "F"),
            "KiwiHand": ("GameOrder", "KiwiHand"), "HandKiwi": ("GameOrder", "HandKiwi"),
@@ -569,7 +570,8 @@ def mixed_profile_grid(spark, d):
                        F.round("deviance", 3).alias("deviance"))
 
 
-MODELS = {  # name: (response, predictors)
+# The fitted models, name: (response, predictors), and the tested pairs.
+MODELS = {
     "perc_null": ("PercNormalized", []), "perc_feedback": ("PercNormalized", ["rate_feedback"]),
     "perc_trial": ("PercNormalized", ["rate_trial"]), "perc_fab": ("PercNormalized", ["rate_fabInput"]),
     "perc_feedbackfab": ("PercNormalized", ["rate_feedback", "rate_fabInput"]),

@@ -89,10 +89,12 @@ def read_logs(spark: SparkSession, root: str, suffix: str, sep: str = ";", empty
 
 
 def relative_path(df: DataFrame, root: str, col: str = PATH) -> DataFrame:
-    """Make the path relative to the parent of ``root``, so that it starts with the root's name."""
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    tail = F.substring_index(as_col(col), f"/{name}/", -1)
-    return df.withColumn(col, F.concat(F.lit(f"{name}/"), _plain_path(tail)))
+    """Cut the path to what follows the parent of ``root``, so that it starts with the root's name."""
+    root = root.rstrip("/")
+    anchor = (root if root.startswith("/") or ":/" in root else f"/{root}") + "/"
+    plain = _plain_path(as_col(col))
+    tail = F.substr(plain, F.instr(plain, anchor) + F.lit(len(anchor)))
+    return df.withColumn(col, F.concat(F.lit(root.rsplit("/", 1)[-1] + "/"), tail))
 
 
 def with_path_columns(df: DataFrame, root: str) -> DataFrame:
