@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,23 @@ def known_key(value: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
+def span_columns(found: DataFrame, kinds: Sequence[str], *keep: str) -> DataFrame:
+    """Digest columns of `base` and `added`, arrays of (start, kind, end): n_<kind> each, base_sha256 and spans.
+
+    `kinds` gives the order of kinds that start at one place; other kinds come after them, by name.
+    """
+    order = F.array(*[F.lit(k) for k in kinds])
+
+    def joined(spans: Column) -> Column:
+        place = lambda s: F.coalesce(F.nullif(F.array_position(order, s["kind"]), F.lit(0)), F.lit(len(kinds) + 1))
+        ranked = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), place(s).alias("b"), s["kind"].alias("c"), s["end"].alias("d"))))
+        return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["c"], s["a"].cast("string"), s["d"].cast("string"))), ",")
+
+    names = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(names) - F.size(F.array_remove(names, k))).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(*keep, *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def unit(*parts: str | Column) -> Column:
     """A repeatable number in [0, 1) drawn from the columns."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trialweave.llm import decontaminate, exact_dedup, line_dedup, ordinal, pivotal, simhash
-from trialweave.llm.common import table
+from trialweave.llm import decontaminate, exact_dedup, line_dedup, ordinal, pii, pivotal, simhash
+from trialweave.llm.common import span_columns, table
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +37,10 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.with_severity(docs, model).drop("text")
 
 
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS, "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_decontaminate": decontaminate_query,
@@ -45,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": simhash_query,
     "op8_mix": mix_query,
     "op9_toxicity": toxicity_query,
+    "op10_personal_data": personal_data_query,
 }
 
 ORACLE: dict[str, str] = {
