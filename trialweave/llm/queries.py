@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, exact_dedup, line_dedup, ordinal, pii, pivotal, secret_scan, simhash
+from trialweave.llm import decontaminate, exact_dedup, line_dedup, ordinal, pii, pivotal, secret_scan, simhash, wrapper
 from trialweave.llm.common import span_columns, table
 
 
@@ -41,6 +41,10 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS, "doc_id")
 
 
+def extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS, "doc_id")
 
@@ -48,6 +52,7 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_decontaminate": decontaminate_query,
+    "op3_extract": extraction_query,
     "op4_secrets": secrets_query,
     "op6_exact_dedup": exact_dedup_query,
     "op7_simhash": simhash_query,
