@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, exact_dedup, line_dedup, ordinal, pii, pivotal, secret_scan, simhash, wrapper
+from trialweave.llm import decontaminate, exact_dedup, kneser_ney, line_dedup, ordinal, pii, pivotal, secret_scan, simhash, wrapper
 from trialweave.llm.common import span_columns, table
 
 
@@ -18,6 +18,10 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate_query,
     "op3_extract": extraction_query,
     "op4_secrets": secrets_query,
+    "op5_quality": quality_query,
     "op6_exact_dedup": exact_dedup_query,
     "op7_simhash": simhash_query,
     "op8_mix": mix_query,
