@@ -25,7 +25,7 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"(?<![0-9a-f])[0-9a-f]{24,}"
 TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{16,}+(?!\p{L}|\p{N})"
 WORD = r"(?<![\p{L}\p{N}])[A-Za-z]{4,}+(?!\p{L}|\p{N})"
 SAMPLE, SAMPLE_DOCS, GENERATED = 20_000, 2_000, 2_000
-MIN_RATIO, SMOOTHING = 8.0, 0.5
+MIN_RATIO, SMOOTHING, BACK_OFF = 8.0, 0.5, 8.0
 #: Tokens are made of characters from + (43) to z (122).
 FIRST, WIDTH = 43, 80
 
@@ -74,15 +74,19 @@ def transitions(strings: DataFrame) -> dict[tuple[int, int], int]:
     return {(r["a"], r["b"]): r["n"] for r in inside.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
 
 
+def probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
+    """P(b | a) at a * WIDTH + b: counts of the pair, backed off to those of b, which are smoothed."""
+    before, after = [0] * WIDTH, [0] * WIDTH
+    for (a, b), n in counts.items():
+        before[a] += n
+        after[b] += n
+    plain = [(n + SMOOTHING) / (sum(after) + SMOOTHING * WIDTH) for n in after]
+    return [(counts.get((a, b), 0) + BACK_OFF * plain[b]) / (before[a] + BACK_OFF) for a in range(WIDTH) for b in range(WIDTH)]
+
+
 def ratios(random: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) at a * WIDTH + b, both smoothed."""
-    table = []
-    rows = [[sum(n for (a, _), n in model.items() if a == at) for at in range(WIDTH)] for model in (random, ordinary)]
-    for a in range(WIDTH):
-        for b in range(WIDTH):
-            r, o = ((m.get((a, b), 0) + SMOOTHING) / (rows[k][a] + SMOOTHING * WIDTH) for k, m in enumerate((random, ordinary)))
-            table.append(math.log(r / o))
-    return table
+    """log P(b | a, random) - log P(b | a, ordinary) at a * WIDTH + b."""
+    return [math.log(r / o) for r, o in zip(probabilities(random), probabilities(ordinary), strict=True)]
 
 
 def ratio_of(token: Column, table: list[float]) -> Column:
