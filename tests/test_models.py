@@ -184,14 +184,14 @@ def line_pass(x, y, span, flat):
     return fit
 
 
-@pytest.mark.parametrize("max_rows", [None, 25])
-def test_smoother_against_brute_force(spark, max_rows):
+@pytest.mark.parametrize("pieces", [False, True])
+def test_smoother_against_brute_force(spark, pieces):
     rng = random.Random(8)
     rows = []
     for k, n, levels in (("a", 90, 40), ("b", 7, 20), ("c", 60, 3), ("d", 12, 1)):
         rows += [(k, rng.randrange(levels) / levels, rng.random(), i) for i in range(n)]
     df = spark.createDataFrame(rows, "k string, x double, y double, i int")
-    got = {(r.k, r.x): r.y for r in smooth.running_line_smooth(df, "y", "x", ["k"], "i", max_rows=max_rows).collect()}
+    got = {(r.k, r.x): r.y for r in smooth.running_line_smooth(df, "y", "x", ["k"], "i", pieces=pieces).collect()}
     want = {}
     for k in "abcd":
         mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[3]))

@@ -43,12 +43,12 @@ def skewed(spark, small_dir):
     return log.withColumn("Participant", F.when(F.col("event_id") % 7 != 1, F.col("Participant")))
 
 
-@pytest.mark.parametrize("max_rows", [None, 3])
-def test_worked_session(spark, max_rows):
-    log = sequence.gap_seconds(worked_log(spark), ORDER, max_rows=max_rows)
+@pytest.mark.parametrize("pieces", [False, True])
+def test_worked_session(spark, pieces):
+    log = sequence.gap_seconds(worked_log(spark), ORDER)
     assert [r.time_delta for r in log.orderBy("event_id").collect()] == [float(r[4]) for r in WORKED]
-    gated = sequence.gate_run(log, ORDER, max_rows=max_rows)
-    labelled = sequence.label_periods(gated, ORDER, max_rows=max_rows)
+    gated = sequence.gate_run(log, ORDER, pieces=pieces)
+    labelled = sequence.label_periods(gated, ORDER, pieces=pieces)
     got = [(r.InputWindowClosedID, r.InputWindowClosedFill, r.Period, r.InputWindowOrderFilled)
            for r in labelled.orderBy("event_id").collect()]
     assert got == [r[6:] for r in WORKED if r[5]]
@@ -59,50 +59,46 @@ def test_worked_session(spark, max_rows):
     assert {k: row[k] for k in expected} == expected
 
 
-@pytest.mark.parametrize("name", ["gap", "session_gap", "gate", "label", "occurrence", "fill", "fill_both", "number", "number_keys"])
-def test_sliced_scan_equals_window(skewed, name):
+@pytest.mark.parametrize("name", ["session_gap", "gate", "label", "occurrence", "fill", "fill_both", "number", "number_keys"])
+def test_scan_of_pieces_equals_window(skewed, name):
     run = {
-        "gap": lambda m: sequence.gap_seconds(skewed, ORDER, max_rows=m),
-        "session_gap": lambda m: sequence.gap_seconds(skewed, ORDER, partition_by=KEYS, max_rows=m),
-        "gate": lambda m: sequence.gate_run(skewed, ORDER, max_rows=m),
-        "label": lambda m: sequence.label_periods(skewed, ORDER, max_rows=m),
-        "occurrence": lambda m: sequence.occurrence_id(skewed, ORDER, max_rows=m),
-        "fill": lambda m: sequence.fill_down(skewed, {"w": "InputWindow"}, ORDER, KEYS, max_rows=m),
-        "fill_both": lambda m: sequence.fill_down_up(skewed, ["InputWindow"], ORDER, KEYS, max_rows=m),
-        "number": lambda m: sequence.number_rows(skewed, ["GameTitle", *ORDER], bucket=[F.col("GameTitle")], max_rows=m),
+        "session_gap": lambda m: sequence.gap_seconds(skewed, ORDER, partition_by=KEYS, pieces=m),
+        "gate": lambda m: sequence.gate_run(skewed, ORDER, pieces=m),
+        "label": lambda m: sequence.label_periods(skewed, ORDER, pieces=m),
+        "occurrence": lambda m: sequence.occurrence_id(skewed, ORDER, pieces=m),
+        "fill": lambda m: sequence.fill_down(skewed, {"w": "InputWindow"}, ORDER, KEYS, pieces=m),
+        "fill_both": lambda m: sequence.fill_down_up(skewed, ["InputWindow"], ORDER, KEYS, pieces=m),
+        "number": lambda m: sequence.number_rows(skewed, ["GameTitle", *ORDER], bucket=[F.col("GameTitle")], pieces=m),
         "number_keys": lambda m: sequence.number_rows(skewed, list(ORDER), keys=["GameTitle"],
-                                                      bucket=[F.date_trunc("DAY", "Timestamp")], max_rows=m),
+                                                      bucket=[F.date_trunc("DAY", "Timestamp")], pieces=m),
     }[name]
-    same_rows(run(None), run(20))
+    same_rows(run(False), run(True))
 
 
-def test_sliced_rows_are_not_moved_again(skewed):
-    big = skewed.where("Participant = 7 and GameTitle = 'Kiwi' and Condition = '50A'")
-    stored = scans.stored_by_slice(big, 12, [F.col(c) for c in ORDER])
-    scan = scans.SliceScan(KEYS, ORDER, 20)
-    out = scan.last_known(scan.running_sum(stored, n=F.lit(1)), w=F.col("InputWindow"))
+def test_pieces_of_numbers_and_texts_follow_the_order(spark):
+    values = [float("-inf"), -1e300, -2.5, -2.0, -1e-300, 0.0, 1e-300, 0.5, 0.51, 3.0, 1e300, float("inf"), float("nan"), None]
+    rows = [(i, v, None if v is None else f"{i:02d}x", i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, v double, s string, k int")
+    for order in (["v", "i"], ["s", "i"], ["k"]):
+        at = [r[0] for r in df.orderBy("i").select(scans.grid_of(df, order)).collect()]
+        shown = [(g["missing"], g["at"] is not None, g["at"] or 0 if order[0] != "s" else g["at"] or "", g["next"] or 0) for g in at]
+        assert shown == sorted(shown)
+
+
+def test_rows_are_shuffled_by_piece_once(skewed):
+    scan = scans.PieceScan(KEYS, list(ORDER))
+    out = scan.last_known(scan.running_sum(scan.placed(skewed), n=F.lit(1)), w=F.col("InputWindow"))
     plan = plan_of(out)
-    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+    by_piece = [line for line in plan.splitlines() if "Exchange hashpartitioning(_piece" in line]
+    assert len(by_piece) <= 3 and "SinglePartition" not in plan  # the rows, and the two stored carries
+    assert all("hashpartitioning(_piece" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
-def test_gap_does_not_depend_on_the_bucket(skewed):
-    day, hour = (sequence.gap_seconds(skewed, ORDER, bucket=b, max_rows=None).select("event_id", "time_delta")
-                 for b in ("DAY", "HOUR"))
-    same_rows(day, hour)
+def test_gap_equals_one_window(skewed):
+    gaps = sequence.gap_seconds(skewed, ORDER).select("event_id", "time_delta")
     plain = skewed.selectExpr("event_id", "coalesce(timestampdiff(MICROSECOND, lag(Timestamp) over (order by Timestamp, "
                               "event_id), Timestamp) / 1e6, 0D) as time_delta")
-    same_rows(day, plain)
-
-
-def test_bucket_follows_the_rate(spark):
-    log = worked_log(spark)  # ten rows in twenty seconds
-    assert sequence.time_bucket(log, "Timestamp", 10**6) == "DAY"
-    assert sequence.time_bucket(log, "Timestamp", 10**4) == "HOUR"
-    assert sequence.time_bucket(log, "Timestamp", 100) == "MINUTE"
-
-
-def test_pipeline_above_the_bound(spark, small_dir):
-    same_rows(study.labelled_log(spark, small_dir), study.labelled_log(spark, small_dir, max_rows=5))
+    same_rows(gaps, plain)
 
 
 def test_untimed_rows_get_no_gap(spark):
@@ -119,8 +115,8 @@ def test_unknown_marker_ends_the_run(spark):
 
 
 def test_fill_is_idempotent(skewed):
-    once = sequence.fill_down(skewed, {"InputWindow": "InputWindow"}, ORDER, KEYS, max_rows=None)
-    same_rows(once, sequence.fill_down(once, {"InputWindow": "InputWindow"}, ORDER, KEYS, max_rows=None))
+    once = sequence.fill_down(skewed, {"InputWindow": "InputWindow"}, ORDER, KEYS, pieces=False)
+    same_rows(once, sequence.fill_down(once, {"InputWindow": "InputWindow"}, ORDER, KEYS, pieces=False))
 
 
 def test_running_frames_are_row_by_row(spark):
@@ -134,33 +130,17 @@ def test_numbering_is_consecutive(skewed):
     assert sorted(r.no for r in out.select("no").collect()) == list(range(1, skewed.count() + 1))
 
 
-def test_oversized_groups_found_once(skewed):
-    big = scans.oversized_groups(skewed, KEYS, 100)
-    assert big.groups == 1 and big.rows == big.keys.count() * big.rows > 250
-    assert scans.oversized_groups(skewed, KEYS, 10_000) is None
-    assert scans.within_bound(skewed, KEYS, max_rows=100) == 100
-    assert scans.within_bound(skewed, KEYS, max_rows=500) is None
-    assert scans.within_bound(skewed, KEYS, max_rows=10_000) is None
-
-
 def test_plans(spark, small_dir):
     log = study.study_log(spark, small_dir)
-    gaps = plan_of(sequence.gap_seconds(log, ORDER, max_rows=None))
+    gaps = plan_of(sequence.gap_seconds(log, ORDER))
     single = [line for line in gaps.splitlines() if "SinglePartition" in line]
-    assert len(single) == 1  # the bucket table only
+    assert len(single) == 1  # the table of days only
     after = gaps[gaps.index("SinglePartition"):]
-    assert "HashAggregate" in after  # what goes through it is already one row per bucket
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:  # also without a broadcast the log is shuffled once: both joined sides need theirs, the carry one more
-        assert plan_of(sequence.gap_seconds(log, ORDER, max_rows=None)).count("Exchange hashpartitioning(_bucket") == 3
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    labels = plan_of(sequence.label_periods(log, ORDER, max_rows=None))
-    assert labels.count("Exchange hashpartitioning") == 1
-    summary = plan_of(sessions.session_summary(sequence.label_periods(
-        log.withColumn("time_delta", F.lit(1.0)), ORDER, max_rows=None)))
-    assert summary.count("Exchange hashpartitioning") == 1
-    assert "SinglePartition" not in labels
+    assert "HashAggregate" in after and "_day" in after  # what goes through it is already one row per day
+    for labels in (sequence.label_periods(log, ORDER), sequence.gate_run(log, ORDER)):
+        plan = plan_of(labels)
+        keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert keyed and all("_piece" in line for line in keyed) and "SinglePartition" not in plan
 
 
 def test_fused_summary_equals_joined_aggregates(spark, small_dir):

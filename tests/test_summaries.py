@@ -27,13 +27,13 @@ def test_roll_ups_and_missing(spark):
     assert summaries.order_summary(df).count() == 2
 
 
-@pytest.mark.parametrize("max_rows", [None, 7])
-def test_exact_quantiles(spark, max_rows):
+@pytest.mark.parametrize("pieces", [False, True])
+def test_exact_quantiles(spark, pieces):
     rng = random.Random(5)
     data = {k: [round(rng.random(), 2) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 50), ("d", 101))}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
     probs = {"q1": 0.25, "med": 0.5, "q9": 0.9}
-    got = {r.k: r for r in summaries.exact_quantiles(df, ["k"], "v", probs, max_rows=max_rows).collect()}
+    got = {r.k: r for r in summaries.exact_quantiles(df, ["k"], "v", probs, pieces=pieces).collect()}
     for k, vs in data.items():
         for name, p in probs.items():
             assert got[k][name] == pytest.approx(np.quantile(vs, p))
@@ -55,11 +55,11 @@ def test_spread_and_low(spark):
     assert sorted(r.Participant for r in summaries.low_performers(df).collect()) == [2, 3]
 
 
-@pytest.mark.parametrize("max_rows", [None, 4])
-def test_box(spark, max_rows):
+@pytest.mark.parametrize("pieces", [False, True])
+def test_box(spark, pieces):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 100.0, None]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
-    r = summaries.box_stats(df, "v", ["g"], max_rows=max_rows).first()
+    r = summaries.box_stats(df, "v", ["g"], pieces=pieces).first()
     assert (r.n, r.q1, r.median_value, r.q3, r.whisker_low, r.whisker_high, r.outliers) == (6, 2.25, 3.5, 4.75, 1.0, 5.0, 1)
 
 
@@ -89,10 +89,10 @@ def test_stability_keeps_first_seen_order(spark):
         ("A,B", 1, 0, "1"), ("B,A", 1, 0, "2"), ("A", 1, 0, "3"), ("NA,A", 1, 0, "4")}
 
 
-@pytest.mark.parametrize("max_rows", [None, 3])
-def test_member_lists_in_pieces_lose_nobody(spark, max_rows):
+@pytest.mark.parametrize("pieces", [False, True])
+def test_member_lists_in_pieces_lose_nobody(spark, pieces):
     df = spark.createDataFrame([("g", i % 11) for i in range(33)], "g string, m int")
-    rows = summaries.member_lists(df, ["g"], "m", "who", size=4, max_rows=max_rows).orderBy("chunk").collect()
+    rows = summaries.member_lists(df, ["g"], "m", "who", size=4, pieces=pieces).orderBy("chunk").collect()
     assert [r.who for r in rows] == ["0,1,2,3", "4,5,6,7", "8,9,10"] and {r["count"] for r in rows} == {33}
 
 
@@ -139,8 +139,8 @@ def test_labels_joined_and_extract(spark):
 QUESTIONS = ("Participant int, Condition string, `Order` int, GameOrder string, PercNormalized double")
 
 
-@pytest.mark.parametrize("max_rows", [None, 2])
-def test_ratings_chain(spark, max_rows):
+@pytest.mark.parametrize("pieces", [False, True])
+def test_ratings_chain(spark, pieces):
     kiwi = spark.createDataFrame(
         [(99, 1, "50A", 1, "HandKiwi", 0.5), (99, 1, "50B", 2, None, 0.2), (99, 17, "50A", 1, "HandKiwi", 0.1),
          (99, None, "50A", 1, None, 0.1), (99, 2, None, 1, None, None)],
@@ -148,7 +148,7 @@ def test_ratings_chain(spark, max_rows):
     hand = spark.createDataFrame([(1, "50A", 1, None, 0.4), (1, "50B", 2, None, None)], QUESTIONS)
     valid = spark.range(1, 17).select(F.col("id").cast("int").alias("Participant"))
     out = {(r.GameTitle, r.Participant, r.Condition): r
-           for r in ratings.prepare_ratings(kiwi, hand, valid, max_rows=max_rows).collect()}
+           for r in ratings.prepare_ratings(kiwi, hand, valid, pieces=pieces).collect()}
     assert set(out) == {("Kiwi", 1, "50A"), ("Kiwi", 1, "50B"), ("Kiwi", 2, None), ("HandStrength", 1, "50A"),
                         ("HandStrength", 1, "50B")}
     assert {k: r.OrderAll for k, r in out.items()} == {
@@ -171,7 +171,7 @@ def test_reports(spark, small_dir):
     shown = report.design_vs_actual(table).collect()
     assert all(r.within_limits is None or r.within_limits == (r.lower <= r.rate_feedback <= r.upper) for r in shown)
     assert "BroadcastHashJoin" in report.design_vs_actual(table)._jdf.queryExecution().executedPlan().toString()
-    series = report.ordered_series(table, ["mi_recog"], F.floor(F.col("Participant") / 4), max_rows=6).collect()
+    series = report.ordered_series(table, ["mi_recog"], F.floor(F.col("Participant") / 4), pieces=True).collect()
     for game in ("Kiwi", "HandStrength"):
         rows = sorted((r for r in series if r.GameTitle == game), key=lambda r: r.position)
         assert [r.position for r in rows] == list(range(len(rows)))
@@ -220,8 +220,8 @@ def test_experience_flags(spark):
 def test_numbered_sessions_match_sorted_keys(spark, small_dir):
     table = sessions.trial_counts(study.study_log(spark, small_dir))
     bucket = [F.col("GameTitle"), F.floor(F.col("Participant") / 4)]
-    a = sequence.number_rows(table, list(sequence.SESSION_KEYS), bucket=bucket, max_rows=None)
-    same_rows(a, sequence.number_rows(table, list(sequence.SESSION_KEYS), bucket=bucket, max_rows=5))
+    a = sequence.number_rows(table, list(sequence.SESSION_KEYS), bucket=bucket, pieces=False)
+    same_rows(a, sequence.number_rows(table, list(sequence.SESSION_KEYS), bucket=bucket, pieces=True))
     rows = sorted(a.collect(), key=lambda r: r.session)
     assert [(r.GameTitle, r.Participant, r.Condition) for r in rows] == sorted(
         (r.GameTitle, r.Participant, r.Condition) for r in rows)

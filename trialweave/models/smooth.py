@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, stored, within_bound
+from trialweave.operators.scans import join_null_safe, ordered_scan, stored
 
 # Spans of the published smoother, and the share of the x scale under which
 # a window counts as having a single x.
 WIDE_SPAN, NARROW_SPAN, FLAT = 0.5, 0.05, 1e-3
 
 
-def _with_ranks(df: DataFrame, y: str, x: str, tie: str, keys: list[str], max_rows) -> DataFrame:
+def _with_ranks(df: DataFrame, y: str, x: str, tie: str, keys: list[str], pieces) -> DataFrame:
     """Number the rows by x, centre x and y, and find the x scale of each group.
 
     The scale is the distance between the quarter ranks, widened rank by rank on both
@@ -45,14 +45,14 @@ def _with_ranks(df: DataFrame, y: str, x: str, tie: str, keys: list[str], max_ro
                                  "_x": xs - F.col("_mx"), "_y": F.col(y) - F.col("_my")}).drop(
             "_mx", "_xi", "_xj", "_above", "_above_rn", "_below", "_below_rn")
 
-    return ordered_scan(df, keys, [x, tie], build, max_rows)
+    return ordered_scan(df, keys, [x, tie], build, pieces)
 
 
 def _half_width(span: float) -> Column:
     return F.greatest(F.lit(2), F.floor(0.5 * span * F.col("_n") + 0.5))
 
 
-def _pass(df: DataFrame, x: str, tie: str, value: str, out: str, span: float, keys: list[str], max_rows) -> DataFrame:
+def _pass(df: DataFrame, x: str, tie: str, value: str, out: str, span: float, keys: list[str], pieces) -> DataFrame:
     """One running-line pass over ``value``; adds ``out``.
 
     A window is the difference of two running sums, looked up by rank with two equi-joins,
@@ -61,7 +61,7 @@ def _pass(df: DataFrame, x: str, tie: str, value: str, out: str, span: float, ke
     px, py = F.col("_x"), F.col(value)
     sums = {"_s1": px, "_s2": py, "_s3": px * py, "_s4": px * px}
     # stored, because the lookups below read it three times
-    rows = stored(ordered_scan(df, keys, [x, tie], lambda part, scan: scan.running_sum(part, **sums), max_rows))
+    rows = stored(ordered_scan(df, keys, [x, tie], lambda part, scan: scan.running_sum(part, **sums), pieces))
     prefix = rows.select(*keys, "_rn", *sums)
     k, n = _half_width(span), F.col("_n")
     centre = F.greatest(k + 1, F.least(n - k, F.col("_rn")))
@@ -80,12 +80,12 @@ def _pass(df: DataFrame, x: str, tie: str, value: str, out: str, span: float, ke
     rows = rows.withColumn("_fit", mean_y + slope * (px - mean_x))
     rows = rows.drop("_from", "_to", *[f"{s}{m}" for s in sums for m in "hl"])
     tied = ordered_scan(rows, [*keys, x], [tie],
-                        lambda part, scan: scan.whole(part, **{out: F.avg("_fit")}), max_rows)
+                        lambda part, scan: scan.whole(part, **{out: F.avg("_fit")}), pieces)
     return tied.drop("_fit")
 
 
 def running_line_smooth(df: DataFrame, y: str, x: str, keys: Sequence[str], tie: str,
-                        max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                        pieces: bool = True) -> DataFrame:
     """Smoothed curve per group as rows ``(keys, x, y)``, one per distinct x.
 
     Rows with a missing value drop out. ``tie`` is a unique column that orders equal x.
@@ -93,9 +93,7 @@ def running_line_smooth(df: DataFrame, y: str, x: str, keys: Sequence[str], tie:
     keys = list(keys)
     rows = df.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), tie)
     rows = stored(rows.dropna(subset=[x, y]))
-    if max_rows is not None:  # one check; runs of tied x are parts of these groups
-        max_rows = within_bound(rows, keys, max_rows=max_rows)
-    rows = _with_ranks(rows, y, x, tie, keys, max_rows)
-    rows = _pass(rows, x, tie, "_y", "_wide", WIDE_SPAN, keys, max_rows)
-    rows = _pass(rows, x, tie, "_wide", "_narrow", NARROW_SPAN, keys, max_rows)
+    rows = _with_ranks(rows, y, x, tie, keys, pieces)
+    rows = _pass(rows, x, tie, "_y", "_wide", WIDE_SPAN, keys, pieces)
+    rows = _pass(rows, x, tie, "_wide", "_narrow", NARROW_SPAN, keys, pieces)
     return rows.groupBy(*keys, F.col(x).alias("x")).agg((F.max("_narrow") + F.max("_my")).alias("y"))

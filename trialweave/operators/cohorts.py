@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.missing import asc_last, label_cascade
 from trialweave.operators.ratings import PLAYER_KEYS
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan
+from trialweave.operators.scans import join_null_safe, ordered_scan
 
 # Label thresholds.
 LOW_ATTEMPTS, HIGH_ATTEMPTS = 0.5, 2
@@ -27,7 +27,7 @@ def mi_group(sessions: DataFrame) -> DataFrame:
 
 
 def player_labels(sessions: DataFrame, keys: Sequence[str] = PLAYER_KEYS,
-                  max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                  pieces: bool = True) -> DataFrame:
     """Label the sessions of a participant by mean feedback, feedback range and lowest trial rate.
 
     The participant values sit on every session, so nothing is joined back. A missing rate
@@ -47,11 +47,11 @@ def player_labels(sessions: DataFrame, keys: Sequence[str] = PLAYER_KEYS,
             "group_trial": label_cascade("MID", [(worst < TRIAL_LOW, "LOW"), (worst > TRIAL_HIGH, "HIGH")])})
         return rows.drop("_n", "_n_feedback", "_mean", "_top", "_low", "_n_trial", "_worst")
 
-    return ordered_scan(sessions, keys, ["Condition"], build, max_rows)
+    return ordered_scan(sessions, keys, ["Condition"], build, pieces)
 
 
-def cohort_labels(sessions: DataFrame, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    return player_labels(mi_group(sessions), max_rows=max_rows)
+def cohort_labels(sessions: DataFrame, pieces: bool = True) -> DataFrame:
+    return player_labels(mi_group(sessions), pieces=pieces)
 
 
 def add_labels(sessions: DataFrame, labels: DataFrame, keys: Sequence[str] = PLAYER_KEYS) -> DataFrame:
@@ -61,10 +61,10 @@ def add_labels(sessions: DataFrame, labels: DataFrame, keys: Sequence[str] = PLA
 
 def cohort_extract(sessions: DataFrame, label: str, level: str, by: str = "rate_feedback",
                    keys: Sequence[str] = PLAYER_KEYS, tie: str = "Condition",
-                   max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                   pieces: bool = True) -> DataFrame:
     """Sessions of one label, with their position along ``by`` for each participant."""
     return ordered_scan(sessions.where(F.col(label) == level), keys, [by, tie],
-                        lambda rows, scan: scan.running_sum(rows, position=F.lit(1)), max_rows)
+                        lambda rows, scan: scan.running_sum(rows, position=F.lit(1)), pieces)
 
 
 def narrow_extract(sessions: DataFrame, game: str) -> DataFrame:

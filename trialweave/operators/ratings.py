@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions.missing import label_cascade, not_in_na
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, oversized_groups
+from trialweave.operators.scans import join_null_safe, ordered_scan
 from trialweave.operators.sequence import SESSION_KEYS, fill_down_up
 
 PLAYER_KEYS = ("GameTitle", "Participant")
@@ -38,7 +38,7 @@ def overall_order(df: DataFrame, out: str = "OrderAll") -> DataFrame:
 
 
 def rel_to_first(df: DataFrame, value: str, out: str, keys: Sequence[str] = PLAYER_KEYS,
-                 max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                 pieces: bool = True) -> DataFrame:
     """Value minus the first of its group in ascending order of the value itself.
 
     Missing values sort last, so the first one is the smallest known one.
@@ -47,11 +47,11 @@ def rel_to_first(df: DataFrame, value: str, out: str, keys: Sequence[str] = PLAY
         rows = scan.whole(rows, _first=F.min(value))
         return rows.withColumn(out, F.col(value) - F.col("_first")).drop("_first")
 
-    return ordered_scan(df, keys, [value], build, max_rows)
+    return ordered_scan(df, keys, [value], build, pieces)
 
 
 def rating_deltas(df: DataFrame, value: str = "PercNormalized", order: Sequence[str] = ("OrderAll", "Condition"),
-                  keys: Sequence[str] = PLAYER_KEYS, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                  keys: Sequence[str] = PLAYER_KEYS, pieces: bool = True) -> DataFrame:
     """Differences to the previous rating (0 before the first) and to the first one."""
     def build(rows, scan):
         rows = scan.previous(rows, _prev=F.col(value))
@@ -60,18 +60,16 @@ def rating_deltas(df: DataFrame, value: str = "PercNormalized", order: Sequence[
             f"{value}_prev_diff": F.col(value) - F.coalesce(F.col("_prev"), F.lit(0.0)),
             f"{value}_first_diff": F.col(value) - F.col("_first")}).drop("_prev", "_first")
 
-    return ordered_scan(df, keys, order, build, max_rows)
+    return ordered_scan(df, keys, order, build, pieces)
 
 
 def prepare_ratings(kiwi: DataFrame, hand: DataFrame, valid: DataFrame,
-                    max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                    pieces: bool = True) -> DataFrame:
     """The whole questionnaire chain, one row per (game, participant, condition)."""
     ratings = keep_members(combine_games(kiwi, hand), valid, "Participant")
-    if max_rows is not None and oversized_groups(ratings, ["Participant"], max_rows) is None:
-        max_rows = None  # no finer group can be larger
-    ratings = fill_down_up(ratings, ["GameOrder"], ["GameTitle", "Order", "Condition"], ["Participant"], max_rows)
-    ratings = rating_deltas(overall_order(ratings), max_rows=max_rows)
-    return rel_to_first(ratings, "PercNormalized", "PercNormalized_rel", max_rows=max_rows)
+    ratings = fill_down_up(ratings, ["GameOrder"], ["GameTitle", "Order", "Condition"], ["Participant"], pieces)
+    ratings = rating_deltas(overall_order(ratings), pieces=pieces)
+    return rel_to_first(ratings, "PercNormalized", "PercNormalized_rel", pieces=pieces)
 
 
 def attach_ratings(df: DataFrame, ratings: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:

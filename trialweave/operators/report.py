@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.missing import if_else_na, paste_na, plain_text
 from trialweave.functions.scalars import fixed_decimals, percent_text
 from trialweave.operators.columns import all_text, pivot_wide, unpivot
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe
+from trialweave.operators.scans import join_null_safe
 from trialweave.operators.sequence import number_rows
 
 # Limits of the feedback rate that each condition was designed for.
@@ -43,7 +43,7 @@ def participant_table(players: DataFrame, participants: Sequence) -> DataFrame:
 
 
 def participant_blocks(players: DataFrame, bucket, width: int = 16,
-                       max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                       pieces: bool = True) -> DataFrame:
     """The participant table for any number of participants, in blocks of ``width`` columns.
 
     Participants are numbered in order; block b holds numbers b * width + 1 and on in the
@@ -51,7 +51,7 @@ def participant_blocks(players: DataFrame, bucket, width: int = 16,
     that never decreases with the participant, see ``number_rows``.
     """
     people = players.groupBy("Participant").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    numbered = number_rows(people, ["Participant"], "_no", bucket=[bucket], max_rows=max_rows)
+    numbered = number_rows(people, ["Participant"], "_no", bucket=[bucket], pieces=pieces)
     place = numbered.select(plain_text(numbered, "Participant"),
                             F.floor((F.col("_no") - 1) / width).alias("block"),
                             F.concat(F.lit("p"), ((F.col("_no") - 1) % width + 1)).alias("column"))
@@ -107,12 +107,12 @@ def design_vs_actual(sessions: DataFrame) -> DataFrame:
 
 
 def ordered_series(sessions: DataFrame, values: Sequence[str], bucket,
-                   max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                   pieces: bool = True) -> DataFrame:
     """Sessions of each game in (participant, play order), with position from 0 and label.
 
     ``bucket`` never decreases with the participant, see ``number_rows``.
     """
     order = ["Participant", "ConditionOrder", "Condition"]
     rows = sessions.select("GameTitle", *order, *[v for v in values if v not in order])
-    numbered = number_rows(rows, order, "position", start=0, keys=["GameTitle"], bucket=[bucket], max_rows=max_rows)
+    numbered = number_rows(rows, order, "position", start=0, keys=["GameTitle"], bucket=[bucket], pieces=pieces)
     return numbered.withColumn("label", paste_na(plain_text(numbered, "Participant"), "Condition"))

@@ -1,38 +1,42 @@
 """Ordered scans over groups of rows, safe for a group of any size.
 
-A running sum, a fill or a lag needs its group in order, and a window runs one
-group in one task. ``ordered_scan`` therefore looks at the group sizes first:
-
-* groups within ``max_rows`` run as ordinary windows (``GroupScan``);
-* larger groups are range-partitioned on their full order, so that a slice holds
-  about ``max_rows`` rows whatever the keys are, and stored once, partitioned by slice.
-  ``SliceScan`` runs the window inside each (group, slice) and adds what the earlier slices
-  of the group carry in. The carry table has one row per (group, slice), a few rows per
-  slice; it is stored and joined by broadcast. No step moves or writes the rows again.
-
-Both classes offer the same methods, so an operator is written once. The order must be
-total (end it with a unique column). Missing order values sort last.
+A running sum, a fill or a lag needs its group in order, and a window runs one group in one
+task. ``ordered_scan`` therefore cuts every group into pieces by a fixed grid on the leading
+order column: a minute of a time, a range of a number, the first letters of a text. The grid
+never looks at the data, so the plan is the same for any size.
+
+``PieceScan`` runs the window inside a piece and adds what the earlier pieces of the group
+carry in. The carry table has one row per piece; it is stored, so a chain of scans reads its
+input once more per scan and never computes an earlier scan again. The rows are shuffled by
+piece, once, and the carry is joined to them on the piece they are placed by.
+
+``pieces=False`` states that groups are small by construction (the sessions of one
+participant): one plain window per group, ``GroupScan``, with the same methods.
+
+The order must be total (end it with a unique column). Missing order values sort last.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialweave.functions.missing import asc_last
+from trialweave.functions.scalars import seconds_between
 
-MAX_GROUP_ROWS = 2_000_000
-MAX_BROADCAST_ROWS = 100_000
-SLICE = "_slice"
+PIECE = "_piece"
+PIECE_SECONDS, PIECE_NUMBERS, PIECE_LETTERS = 60, 4096, 2
+#: Parts of the fixed grid for fractions: each doubling of the size has so many pieces.
+PIECES_PER_OCTAVE = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; make one only for a local run without it."""
+    """Use the session's checkpoint folder; make one only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -50,24 +54,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored_by_slice(df: DataFrame, n_slices: int, order: Sequence[Column]) -> DataFrame:
-    """Cut rows into slices along the order and store them partitioned by slice.
-
-    The slice is the partition of a range repartitioning. Its bounds come from a sample, so
-    it is fixed by storing it in the same job. Adaptive execution would hide the partitioning
-    of the stored rows from later plans and is off for this one job.
-    """
-    spark, flag = df.sparkSession, "spark.sql.adaptive.enabled"
-    sliced = (df.repartitionByRange(n_slices, *order).withColumn(SLICE, F.spark_partition_id())
-              .repartition(n_slices, SLICE))
-    before = spark.conf.get(flag)
-    spark.conf.set(flag, "false")
-    try:
-        return stored(sliced)
-    finally:
-        spark.conf.set(flag, before)
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join where a missing key matches a missing key; the right keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -79,44 +65,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-@dataclass(frozen=True)
-class Oversized:
-    """The groups above the bound: their keys, how many there are, and all their rows."""
-
-    keys: DataFrame
-    groups: int
-    rows: int
-    max_rows: int
-
-
-def oversized_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> Oversized | None:
-    """Find the groups above ``max_rows`` in one job that reads the key columns only.
-
-    There can be at most (rows / max_rows) of them.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_rows)
-    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("_size")).first()
-    return Oversized(stored(sizes.drop("_size")), groups, rows, max_rows) if groups else None
-
-
-def within_bound(df: DataFrame, *key_sets: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> int | None:
-    """One check for several operators on the same rows.
-
-    Gives None, the "no check needed" value of ``max_rows``, if no group of any key set is
-    above the bound, else ``max_rows`` itself. A table below the bound needs no grouping;
-    on a plain file scan its row count comes from the file footers.
-    """
-    if df.count() <= max_rows:
-        return None
-    sizes = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")) for keys in key_sets]
-    largest = reduce(DataFrame.union, sizes).agg(F.max("max(_size)")).first()[0]
-    return None if largest <= max_rows else max_rows
-
-
-def _hint(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
 class GroupScan:
     """Scans as plain windows: one task per group."""
 
@@ -149,88 +97,101 @@ class GroupScan:
         return df.withColumns({out: F.first(c).over(self._so_far) for out, c in cols.items()})
 
 
-class SliceScan:
-    """The same scans over rows already cut into slices along the order."""
+def grid_of(df: DataFrame, order: Sequence[str]) -> Column:
+    """The place of a row on the fixed grid of its leading order column; never decreases along the order.
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], carry_rows: int):
-        self.keys, self.order, self.carry_rows = list(keys), list(order), carry_rows
-        self._piece = [*self.keys, SLICE]
-        self._local = GroupScan(self._piece, self.order)
-        self._slices = Window.partitionBy(*self.keys).orderBy(SLICE)
+    Rows without that value come last and are cut by the grid of the next order column.
+    """
+    def at(name: str) -> Column:
+        kind, c = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            epoch = F.lit("1970-01-01 00:00:00").cast(kind)
+            return F.floor(seconds_between(epoch, c) / PIECE_SECONDS).cast("bigint")
+        if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            x = c.cast("double")
+            size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1024.0)) * PIECES_PER_OCTAVE) + (1 << 20)
+            sign = F.when(x > 0, 1).when(x < 0, -1).otherwise(0)  # not-a-number is above every number
+            return F.when(F.isnan(x), 1 << 40).when(x == 0, 0).otherwise(sign * size).cast("bigint")
+        if isinstance(kind, T.IntegralType):
+            return F.floor(c / PIECE_NUMBERS).cast("bigint")
+        return F.substring(c.cast("string"), 1, PIECE_LETTERS)
+
+    first = F.col(order[0])
+    rest = F.when(first.isNull(), at(order[1])) if len(order) > 1 else F.lit(None).cast("bigint")
+    return F.struct(first.isNull().alias("missing"), at(order[0]).alias("at"), rest.alias("next"))
+
+
+class PieceScan:
+    """The same scans over rows cut into pieces along the order."""
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        self._local = GroupScan([PIECE], self.order)
+        self._pieces_of_group = Window.partitionBy(f"{PIECE}.keys").orderBy(f"{PIECE}.grid")
         # rank of a row inside its group, comparable, missing order values last
         self._at = F.struct(*[x for c in self.order for x in (F.col(c).isNull(), F.col(c))])
 
-    def _pieces(self, df: DataFrame, **aggs: Column) -> DataFrame:
-        return df.groupBy(*self._piece).agg(*[a.alias(out) for out, a in aggs.items()])
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Adds the piece: one column, never missing as a whole, so that a plain equi-join matches missing keys."""
+        keys = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)])
+        return df.withColumn(PIECE, F.struct(keys.alias("keys"), grid_of(df, self.order).alias("grid")))
 
-    def _with(self, df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-        # storing the small side keeps a chain of scans linear: it is never computed again
-        return join_null_safe(df, _hint(stored(side), self.carry_rows), keys)
-
-    def _carry(self, df: DataFrame, pieces: DataFrame, carried: dict[str, Column]) -> DataFrame:
-        side = pieces.select(*self._piece, *[c.alias(f"_c_{out}") for out, c in carried.items()])
-        return self._with(df, side, self._piece)
+    def _carry(self, df: DataFrame, aggs: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+        pieces = df.groupBy(PIECE).agg(*[a.alias(out) for out, a in aggs.items()])
+        side = pieces.select(PIECE, *[c.alias(f"_c_{out}") for out, c in carried.items()])
+        return df.join(stored(side), PIECE)
 
     @staticmethod
     def _finish(df: DataFrame, cols) -> DataFrame:
         return df.drop(*[f"_c_{out}" for out in cols])
 
     def running_sum(self, df: DataFrame, **cols: Column) -> DataFrame:
-        before = self._slices.rowsBetween(Window.unboundedPreceding, -1)
-        pieces = self._pieces(df, **{out: F.sum(c) for out, c in cols.items()})
-        df = self._carry(df, pieces, {out: F.coalesce(F.sum(out).over(before), F.lit(0)) for out in cols})
+        before = self._pieces_of_group.rowsBetween(Window.unboundedPreceding, -1)
+        df = self._carry(df, {out: F.sum(c) for out, c in cols.items()},
+                         {out: F.coalesce(F.sum(out).over(before), F.lit(0)) for out in cols})
         df = self._local.running_sum(df, **cols)
         df = df.withColumns({out: F.col(out) + F.col(f"_c_{out}") for out in cols})
         return self._finish(df, cols)
 
     def last_known(self, df: DataFrame, **cols: Column) -> DataFrame:
-        before = self._slices.rowsBetween(Window.unboundedPreceding, -1)
-        pieces = self._pieces(df, **{out: F.max_by(c, F.when(c.isNotNull(), self._at)) for out, c in cols.items()})
-        df = self._carry(df, pieces, {out: F.last(out, ignorenulls=True).over(before) for out in cols})
+        before = self._pieces_of_group.rowsBetween(Window.unboundedPreceding, -1)
+        df = self._carry(df, {out: F.max_by(c, F.when(c.isNotNull(), self._at)) for out, c in cols.items()},
+                         {out: F.last(out, ignorenulls=True).over(before) for out in cols})
         df = self._local.last_known(df, **cols)
         df = df.withColumns({out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in cols})
         return self._finish(df, cols)
 
     def next_known(self, df: DataFrame, **cols: Column) -> DataFrame:
-        after = self._slices.rowsBetween(1, Window.unboundedFollowing)
-        pieces = self._pieces(df, **{out: F.min_by(c, F.when(c.isNotNull(), self._at)) for out, c in cols.items()})
-        df = self._carry(df, pieces, {out: F.first(out, ignorenulls=True).over(after) for out in cols})
+        after = self._pieces_of_group.rowsBetween(1, Window.unboundedFollowing)
+        df = self._carry(df, {out: F.min_by(c, F.when(c.isNotNull(), self._at)) for out, c in cols.items()},
+                         {out: F.first(out, ignorenulls=True).over(after) for out in cols})
         df = self._local.next_known(df, **cols)
         df = df.withColumns({out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in cols})
         return self._finish(df, cols)
 
     def previous(self, df: DataFrame, **cols: Column) -> DataFrame:
-        pieces = self._pieces(df, **{out: F.max_by(c, self._at) for out, c in cols.items()})
-        df = self._carry(df, pieces, {out: F.lag(out).over(self._slices) for out in cols})
-        df = self._local.running_sum(df, _in_slice=F.lit(1))
+        df = self._carry(df, {out: F.max_by(c, self._at) for out, c in cols.items()},
+                         {out: F.lag(out).over(self._pieces_of_group) for out in cols})
+        df = self._local.running_sum(df, _in_piece=F.lit(1))
         df = self._local.previous(df, **cols)
-        df = df.withColumns({out: F.when(F.col("_in_slice") == 1, F.col(f"_c_{out}")).otherwise(F.col(out))
+        df = df.withColumns({out: F.when(F.col("_in_piece") == 1, F.col(f"_c_{out}")).otherwise(F.col(out))
                              for out in cols})
-        return self._finish(df.drop("_in_slice"), cols)
+        return self._finish(df.drop("_in_piece"), cols)
 
     def whole(self, df: DataFrame, **aggs: Column) -> DataFrame:
-        side = df.groupBy(*self.keys).agg(*[a.alias(out) for out, a in aggs.items()])
-        return self._with(df, side, self.keys)
+        """Group totals, one row per group, come down to the rows by way of the pieces."""
+        totals = df.groupBy(F.col(f"{PIECE}.keys").alias("_keys")).agg(*[a.alias(out) for out, a in aggs.items()])
+        pieces = df.select(PIECE).distinct().withColumn("_keys", F.col(f"{PIECE}.keys"))
+        return df.join(stored(pieces.join(totals, "_keys").drop("_keys")), PIECE)
 
     def first(self, df: DataFrame, **cols: Column) -> DataFrame:
         return self.whole(df, **{out: F.min_by(c, self._at) for out, c in cols.items()})
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 build: Callable[[DataFrame, GroupScan | SliceScan], DataFrame],
-                 max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
-    """Run ``build(rows, scan)`` on groups of bounded size and, sliced, on the larger ones.
-
-    The check reads the key columns of ``df`` once. It is skipped with ``max_rows=None``
-    (the caller knows that every group is small) or with the result of an earlier
-    ``oversized_groups`` over the same keys.
-    """
-    big = oversized_groups(df, keys, max_rows) if isinstance(max_rows, int) else max_rows
-    if big is None:
+                 build: Callable[[DataFrame, GroupScan | PieceScan], DataFrame], pieces: bool = True) -> DataFrame:
+    """Run ``build(rows, scan)``; see the top of this file for ``pieces``."""
+    if not pieces:
         return build(df, GroupScan(keys, order))
-    marked = _hint(big.keys, big.groups)
-    small_rows = join_null_safe(df, marked, keys, "left_anti")
-    n_slices = -(-big.rows // big.max_rows)
-    sliced = stored_by_slice(join_null_safe(df, marked, keys, "left_semi"), n_slices, asc_last(*keys, *order))
-    large = build(sliced, SliceScan(keys, order, n_slices + big.groups)).drop(SLICE)
-    return build(small_rows, GroupScan(keys, order)).unionByName(large)
+    scan = PieceScan(keys, order)
+    return build(scan.placed(df), scan).drop(PIECE)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.missing import as_col, asc_last, if_else_na, label_cascade
 from trialweave.functions.scalars import seconds_between
-from trialweave.operators.scans import MAX_GROUP_ROWS, Oversized, join_null_safe, ordered_scan
+from trialweave.operators.scans import join_null_safe, ordered_scan
 
 SESSION_KEYS = ("GameTitle", "Participant", "Condition")
 
@@ -19,59 +19,52 @@ WINDOW_CHANGE, OPEN, CLOSED = "InputWindowChange", "Open", "Closed"
 PRE_GAME, OPEN_PERIOD, REST_PERIOD, POST_GAME = "PreGame", "OpenPeriod", "RestPeriod", "PostGame"
 
 
-UNIT_SECONDS = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60}
+MINUTE, DAY = 60, 86_400
 
 
-def time_bucket(df: DataFrame, ts: str, max_rows: int) -> str:
-    """Coarsest calendar unit whose average bucket is well inside the bound."""
-    rows, span = df.agg(F.count(ts), F.timestamp_diff("SECOND", F.min(ts), F.max(ts))).first()
-    for unit in ("DAY", "HOUR"):
-        if rows * UNIT_SECONDS[unit] <= (span or 0) * max_rows / 4:
-            return unit
-    return "MINUTE"
-
-
-def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta",
-                partition_by: Sequence[str] = (), bucket: str | None = None,
-                max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def gap_seconds(df: DataFrame, order: Sequence[str], out: str = "time_delta", partition_by: Sequence[str] = (),
+                pieces: bool = True) -> DataFrame:
     """Seconds since the previous event; the first event gets 0. ``order`` starts with the time.
 
-    By default the previous event is the one before in the **whole** log, of whatever
-    session; ``partition_by`` restricts it. The whole-log order never goes through one
-    task: events are lagged inside calendar buckets, and the first event of a bucket takes
-    the last time of the bucket before, from a table with one row per bucket. The bucket is
-    a day, an hour or a minute by the rate of the log; one that is still too large in a burst
-    is sliced. Rows without a time get 0 and take no part in the order.
+    By default the previous event is the one before in the **whole** log, of whatever session;
+    ``partition_by`` restricts it. The whole-log order never goes through one task: events are lagged
+    inside a minute, the first event of a minute takes the last time of the minute before it in
+    its day, and the first minute of a day the last time of the day before. Only the table of
+    days (one row each) has a window without a partition. Rows without a time get 0 and take no
+    part in the order.
     """
     ts = order[0]
     gap = F.coalesce(seconds_between(F.col("_prev"), F.col(ts)), F.lit(0.0))
     if partition_by:
         lagged = ordered_scan(df, partition_by, order,
-                              lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), max_rows)
+                              lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), pieces)
         return lagged.withColumn(out, gap).drop("_prev")
 
-    if bucket is None:
-        bucket = "DAY" if max_rows is None else time_bucket(df, ts, max_rows)
     epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[ts].dataType)
-    timed = df.where(F.col(ts).isNotNull()).withColumn(
-        "_bucket", F.floor(seconds_between(epoch, F.col(ts)) / UNIT_SECONDS[bucket]))
-    lagged = ordered_scan(timed, ["_bucket"], order,
-                          lambda rows, scan: scan.previous(rows, _prev=F.col(ts)), max_rows)
-    # one row per bucket: the window without a partition holds calendar units, not events
-    carry = (timed.groupBy("_bucket").agg(F.max(ts).alias("_last"))
-             .select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_carry")))
-    # buckets are known, so plain equality will do and the lagged rows are already placed for it
-    gaps = (lagged.join(carry, "_bucket", "left")
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_minute", F.floor(seconds_between(epoch, F.col(ts)) / MINUTE))
+    lagged = timed.withColumn("_prev", F.lag(ts).over(Window.partitionBy("_minute").orderBy(*asc_last(*order))))
+    # minutes are known, so plain equality will do and the lagged rows are already placed for it
+    gaps = (lagged.join(_minute_carry(timed, ts), "_minute", "left")
             .withColumn("_prev", F.coalesce("_prev", "_carry"))
             .withColumn(out, gap)
-            .drop("_bucket", "_prev", "_carry"))
+            .drop("_minute", "_prev", "_carry"))
     untimed = df.where(F.col(ts).isNull()).withColumn(out, F.lit(0.0))
     return gaps.unionByName(untimed)
 
 
+def _minute_carry(timed: DataFrame, ts: str) -> DataFrame:
+    """The last time before each minute, by way of its day."""
+    day = F.floor(F.col("_minute") * MINUTE / DAY)
+    minutes = timed.groupBy("_minute").agg(F.max(ts).alias("_last")).withColumn("_day", day)
+    days = minutes.groupBy("_day").agg(F.max("_last").alias("_last"))
+    before = days.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_day_carry"))
+    inside = F.lag("_last").over(Window.partitionBy("_day").orderBy("_minute"))
+    return (minutes.withColumn("_carry", inside).join(before, "_day")
+            .select("_minute", F.coalesce("_carry", "_day_carry").alias("_carry")))
+
+
 def between_markers(df: DataFrame, marker: Column, order: Sequence[str],
-                    keys: Sequence[str] = SESSION_KEYS, run: int = 1,
-                    max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+                    keys: Sequence[str] = SESSION_KEYS, run: int = 1, pieces: bool = True) -> DataFrame:
     """Rows from the ``run``-th marker up to, not including, the next one.
 
     From the first row whose marker test is NULL on, the count is unknown and rows drop.
@@ -80,13 +73,12 @@ def between_markers(df: DataFrame, marker: Column, order: Sequence[str],
         rows = scan.running_sum(rows, _runs=marker.cast("int"), _unknown=marker.isNull().cast("int"))
         return rows.where((F.col("_runs") == run) & (F.col("_unknown") == 0)).drop("_runs", "_unknown")
 
-    return ordered_scan(df, keys, order, build, max_rows)
+    return ordered_scan(df, keys, order, build, pieces)
 
 
-def gate_run(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-             max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+def gate_run(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS, pieces: bool = True) -> DataFrame:
     """The first game run of each session."""
-    return between_markers(df, F.col("Event") == GAME_START, order, keys, 1, max_rows)
+    return between_markers(df, F.col("Event") == GAME_START, order, keys, 1, pieces)
 
 
 def _closed_flag() -> Column:
@@ -106,21 +98,18 @@ def _with_closed_id(rows, scan):
     return rows.withColumn("InputWindowClosedID", closed_id.cast("bigint")).drop("_n_closed", "_unknown")
 
 
-def occurrence_id(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-                  max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+def occurrence_id(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS, pieces: bool = True) -> DataFrame:
     """Add ``InputWindowClosedID``: the running number of each closed window of a session."""
-    return ordered_scan(df, keys, order, _with_closed_id, max_rows)
+    return ordered_scan(df, keys, order, _with_closed_id, pieces)
 
 
-def fill_down(df: DataFrame, cols: dict[str, str | Column], order: Sequence[str], keys: Sequence[str],
-              max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+def fill_down(df: DataFrame, cols: dict[str, str | Column], order: Sequence[str], keys: Sequence[str], pieces: bool = True) -> DataFrame:
     """``{out: column}``: carry the last known value forward within the group."""
     filled = {out: as_col(c) for out, c in cols.items()}
-    return ordered_scan(df, keys, order, lambda rows, scan: scan.last_known(rows, **filled), max_rows)
+    return ordered_scan(df, keys, order, lambda rows, scan: scan.last_known(rows, **filled), pieces)
 
 
-def fill_down_up(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys: Sequence[str],
-                 max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+def fill_down_up(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys: Sequence[str], pieces: bool = True) -> DataFrame:
     """Carry the last known value forward, then the first known one backward."""
     def build(rows, scan):
         rows = scan.last_known(rows, **{f"_down_{c}": F.col(c) for c in cols})
@@ -128,11 +117,10 @@ def fill_down_up(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys:
         rows = rows.withColumns({c: F.coalesce(f"_down_{c}", f"_up_{c}") for c in cols})
         return rows.drop(*[f"_{way}_{c}" for way in ("down", "up") for c in cols])
 
-    return ordered_scan(df, keys, order, build, max_rows)
+    return ordered_scan(df, keys, order, build, pieces)
 
 
-def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS,
-                  max_rows: int | Oversized | None = MAX_GROUP_ROWS) -> DataFrame:
+def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS, pieces: bool = True) -> DataFrame:
     """Add the window numbers, the filled trial order and the period of every event.
 
     New columns: ``InputWindowClosedID``, ``InputWindowClosedFill``, ``InputWindowOrderFilled``
@@ -159,12 +147,11 @@ def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SES
                                Period=F.col("Period"))
         return rows.drop("_last_id")
 
-    return ordered_scan(df, keys, order, build, max_rows)
+    return ordered_scan(df, keys, order, build, pieces)
 
 
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start: int = 1,
-                keys: Sequence[str] = (), bucket: Sequence[Column] = (),
-                max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                keys: Sequence[str] = (), bucket: Sequence[Column] = (), pieces: bool = True) -> DataFrame:
     """Consecutive numbers along a total order, without sorting everything in one task.
 
     ``bucket`` are columns that never decrease along ``order`` inside ``keys`` (a leading
@@ -178,7 +165,7 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start
     if not inner:
         raise ValueError("number_rows needs keys or a bucket")
     numbered = ordered_scan(rows, inner, order,
-                            lambda part, scan: scan.running_sum(part, **{out: F.lit(1)}), max_rows)
+                            lambda part, scan: scan.running_sum(part, **{out: F.lit(1)}), pieces)
     if names:
         before = Window.partitionBy(*keys).orderBy(*asc_last(*names)).rowsBetween(Window.unboundedPreceding, -1)
         sizes = rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n"))

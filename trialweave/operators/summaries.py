@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.missing import (na_count_if, na_max, na_mean, na_min, na_sum,
                                           only_value)
 from trialweave.operators.ratings import PLAYER_KEYS
-from trialweave.operators.scans import MAX_GROUP_ROWS, join_null_safe, ordered_scan, stored
+from trialweave.operators.scans import join_null_safe, ordered_scan, stored
 from trialweave.operators.sequence import SESSION_KEYS
 
 
@@ -53,15 +53,16 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n")
     return group_counts(distinct_values(df, keys, value), [value], out)
 
 
-def _quantile_rows(df, keys, value, probs, max_rows) -> DataFrame:
+def _quantile_rows(df, keys, value, probs, pieces) -> DataFrame:
     """One row per (group, distinct value) with the group's quantiles on every row.
 
     Equal values are merged before anything is ordered; the counts are then summed along
     the values by an ordered scan, so no group is ever held as a whole.
     """
     n, upto = F.col("_n"), F.col("_upto")
-    # stored, because the size check and the scan both read it
-    histogram = stored(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    histogram = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    if pieces:  # stored, because each scan of the pieces reads it
+        histogram = stored(histogram)
 
     def at_rank(rank):
         return F.max(F.when((upto - n <= rank) & (rank < upto), F.col("_v")))
@@ -77,13 +78,13 @@ def _quantile_rows(df, keys, value, probs, max_rows) -> DataFrame:
             f"_q{i}": F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank[p] - F.floor(rank[p]))
             for i, p in enumerate(probs)})
 
-    return ordered_scan(histogram, keys, ["_v"], build, max_rows)
+    return ordered_scan(histogram, keys, ["_v"], build, pieces)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    na: str = "propagate", max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                    na: str = "propagate", pieces: bool = True) -> DataFrame:
     """Exact interpolated quantiles ``{name: probability}`` per group, with min and max."""
-    rows = _quantile_rows(df, keys, value, list(probs.values()), max_rows)
+    rows = _quantile_rows(df, keys, value, list(probs.values()), pieces)
     fine = F.lit(True) if na == "skip" else F.max("_unknown").isNull()
     aggs = {name: F.max(f"_q{i}") for i, name in enumerate(probs)}
     aggs |= {"min_value": F.min("_v"), "max_value": F.max("_v")}
@@ -92,10 +93,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
 
 def rate_spread(sessions: DataFrame, keys: Sequence[str] = ("Participant", "GameTitle"),
                 value: str = "rate_trial", limit: float = 25.0,
-                max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                pieces: bool = True) -> DataFrame:
     """Median, min and max per group, kept if both lie within ``limit`` percent of the median."""
     top, mid, low = F.col("max_value"), F.col("median_value"), F.col("min_value")
-    return (exact_quantiles(sessions, keys, value, {"median_value": 0.5}, max_rows=max_rows)
+    return (exact_quantiles(sessions, keys, value, {"median_value": 0.5}, pieces=pieces)
             .withColumns({"percentage_change_max": F.try_divide(top - mid, top) * 100,
                           "percentage_change_min": F.try_divide(mid - low, mid) * 100})
             .where((F.col("percentage_change_max") < limit) & (F.col("percentage_change_min") < limit)))
@@ -108,12 +109,12 @@ def low_performers(sessions: DataFrame, keys: Sequence[str] = ("Participant", "G
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str],
-              max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+              pieces: bool = True) -> DataFrame:
     """Quartiles, whiskers at 1.5 times the quartile range, and outlier count per group.
 
     Exact; missing values are left out.
     """
-    rows = _quantile_rows(df.where(F.col(value).isNotNull()), by, value, [0.25, 0.5, 0.75], max_rows)
+    rows = _quantile_rows(df.where(F.col(value).isNotNull()), by, value, [0.25, 0.5, 0.75], pieces)
     q1, q3 = F.col("_q0"), F.col("_q2")
     inside = F.col("_v").between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return rows.groupBy(*by).agg(
@@ -189,19 +190,21 @@ def stability(sessions: DataFrame, keys: Sequence[str] = PLAYER_KEYS, label: str
 
 
 def member_lists(df: DataFrame, keys: Sequence[str], member: str, out: str, size: int = 1000,
-                 max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                 pieces: bool = True) -> DataFrame:
     """Group count and member list, the list in pieces of at most ``size`` members.
 
     A group with few members is one row (``chunk`` 0); a larger one has more rows, so no
     member is dropped and no cell grows with the data.
     """
-    members = stored(df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n")))
+    members = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
+    if pieces:
+        members = stored(members)
 
     def build(rows, scan):
         rows = scan.running_sum(rows, _at=F.lit(1))
         return scan.whole(rows, count=F.sum("_n"))
 
-    numbered = ordered_scan(members, keys, [member], build, max_rows)
+    numbered = ordered_scan(members, keys, [member], build, pieces)
     chunk = F.floor((F.col("_at") - 1) / size)
     return (numbered.groupBy(*keys, "count", chunk.alias("chunk"))
             .agg(_joined([F.col("_at")], F.col(member), ",").alias(out)))

@@ -45,43 +45,43 @@ def query(sql: str | None = None, digits: int = 9):
 
 @query(with_parts("gaps") + f"SELECT event_id, {rnd('time_delta')} FROM gaps")
 def event_gaps(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.gap_seconds(checked.log, ORDER, max_rows=checked.max_rows).select("event_id", "time_delta")
+    log = study.study_log(spark, d)
+    return sequence.gap_seconds(log, ORDER).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT event_id, {rnd('''coalesce((epoch_us(Timestamp) - epoch_us(lag(Timestamp) OVER
 (PARTITION BY GameTitle, Participant, Condition ORDER BY Timestamp, event_id))) / 1e6, 0.0)''', 'time_delta')} FROM log""")
 def session_gaps(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.gap_seconds(checked.log, ORDER, partition_by=KEYS, max_rows=checked.sessions).select("event_id", "time_delta")
+    log = study.study_log(spark, d)
+    return sequence.gap_seconds(log, ORDER, partition_by=KEYS).select("event_id", "time_delta")
 
 
 @query(with_parts("log") + f"""SELECT {K}, event_id, Event FROM (SELECT *, count(CASE WHEN Event = 'GameRunning' THEN 1 END)
 OVER (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS runs FROM log) WHERE runs = 1""")
 def gate_run(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.gate_run(checked.log, ORDER, max_rows=checked.sessions).select(*KEYS, "event_id", "Event")
+    log = study.study_log(spark, d)
+    return sequence.gate_run(log, ORDER).select(*KEYS, "event_id", "Event")
 
 
 @query(with_parts("numbered") + f"SELECT {K}, event_id, InputWindowClosedID FROM numbered")
 def occurrence_id(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.occurrence_id(checked.log, ORDER, max_rows=checked.sessions).select(*KEYS, "event_id", "InputWindowClosedID")
+    log = study.study_log(spark, d)
+    return sequence.occurrence_id(log, ORDER).select(*KEYS, "event_id", "InputWindowClosedID")
 
 
 @query(with_parts("log") + f"""SELECT event_id, last_value(InputWindow IGNORE NULLS) OVER (PARTITION BY {K}
 ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS window_state FROM log""")
 def window_state(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.fill_down(checked.log, {"window_state": "InputWindow"}, ORDER, KEYS, checked.sessions).select(
+    log = study.study_log(spark, d)
+    return sequence.fill_down(log, {"window_state": "InputWindow"}, ORDER, KEYS).select(
         "event_id", "window_state")
 
 
 @query(with_parts("labelled") + f"""SELECT {K}, event_id, InputWindowClosedID, InputWindowClosedFill,
 InputWindowOrderFilled, Period FROM labelled""")
 def period_labels(spark, d):
-    checked = study.checked_log(spark, d)
-    return sequence.label_periods(checked.log, ORDER, max_rows=checked.sessions).select(
+    log = study.study_log(spark, d)
+    return sequence.label_periods(log, ORDER).select(
         *KEYS, "event_id", "InputWindowClosedID", "InputWindowClosedFill", "InputWindowOrderFilled", "Period")
 
 
@@ -126,16 +126,16 @@ def session_metrics_joined(spark, d):
 @query(with_parts("labelled") + """SELECT event_id, InputWindowClosedFill FROM labelled
 WHERE InputWindowClosedFill < (SELECT max(InputWindowClosedFill) FROM labelled)""")
 def below_global_max(spark, d):
-    checked = study.checked_log(spark, d)
-    log = sequence.label_periods(checked.log, ORDER, max_rows=checked.sessions).select("event_id", "InputWindowClosedFill")
+    log = study.study_log(spark, d)
+    log = sequence.label_periods(log, ORDER).select("event_id", "InputWindowClosedFill")
     return sessions.filter_below_global_max(stored(log), "InputWindowClosedFill")
 
 
 @query(with_parts("metrics") + f"""SELECT {K}, row_number() OVER (ORDER BY {K}) AS session, totalTrials FROM metrics""")
 def numbered_sessions(spark, d):
     counts = stored(sessions.trial_counts(study.study_log(spark, d)))
-    return sequence.number_rows(counts, KEYS, "session", bucket=[F.col("GameTitle"), F.floor(F.col("Participant") / 1024)]
-                                ).select(*KEYS, "session", "totalTrials")
+    return sequence.number_rows(counts, KEYS, "session", bucket=[F.col("GameTitle"), F.floor(F.col("Participant") / 1024)],
+                                pieces=False).select(*KEYS, "session", "totalTrials")
 
 
 # --- roll-ups -----------------------------------------------------------------------------
@@ -186,7 +186,7 @@ FROM (SELECT Participant, GameTitle, quantile_cont(rate_trial, 0.5) AS median_va
 WHERE median_value > 0 AND (max_value - median_value) / max_value * 100 < 25
   AND (median_value - min_value) / median_value * 100 < 25""")
 def rate_spread(spark, d):
-    return summaries.rate_spread(study.session_table(spark, d))
+    return summaries.rate_spread(study.session_table(spark, d), pieces=False)  # four sessions each at most
 
 
 @query(with_parts("st") + f"""SELECT Participant, GameTitle, {rnd('max(rate_trial)', 'max_value')} FROM st GROUP BY 1, 2
@@ -290,7 +290,7 @@ LABELS = ["mi_group", "group_feedback", "group_feedback_range", "group_trial"]
 
 def _cohorts(spark, d):
     # the session table has one row per (game, participant, condition), four conditions at most
-    return cohorts.cohort_labels(study.session_table(spark, d), max_rows=None)
+    return cohorts.cohort_labels(study.session_table(spark, d), pieces=False)
 
 
 @query(with_parts("cohorts") + f"SELECT {K}, {', '.join(LABELS)} FROM cohorts")
@@ -319,7 +319,7 @@ FROM cohorts WHERE {label} = '{level}'"""
 
 
 def _extract(spark, d, label, level):
-    return cohorts.cohort_extract(_cohorts(spark, d), label, level, max_rows=None).select(
+    return cohorts.cohort_extract(_cohorts(spark, d), label, level, pieces=False).select(
         *KEYS, "rate_feedback", "rate_fabInput", "PercNormalized", "FrustNormalized", "position")
 
 

@@ -7,14 +7,11 @@ play the log's event names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import to_number
 from trialweave.operators.ratings import attach_ratings, prepare_ratings
-from trialweave.operators.scans import MAX_GROUP_ROWS, Oversized, oversized_groups
 from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, label_periods
 from trialweave.operators.sessions import experience_flags, session_rates, session_summary
 
@@ -103,34 +100,12 @@ def study_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kiwi, hand = study_questionnaires(spark, sf_dir)
     valid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Participant"))
     # built above with two games and four conditions, so a participant has eight rows at most
-    return prepare_ratings(kiwi, hand, valid, max_rows=None)
-
-
-@dataclass(frozen=True)
-class CheckedLog:
-    """The log with what its scans need to know of its group sizes."""
-
-    log: DataFrame
-    max_rows: int | None
-    sessions: Oversized | None
-
-
-def checked_log(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> CheckedLog:
-    """A log below the bound needs no check, and its row count comes from the file footers.
-
-    Otherwise the large sessions are looked up once, on the raw log.
-    """
-    log = study_log(spark, sf_dir)
-    if log.count() <= max_rows:
-        return CheckedLog(log, None, None)
-    return CheckedLog(log, max_rows, oversized_groups(log, SESSION_KEYS, max_rows))
+    return prepare_ratings(kiwi, hand, valid, pieces=False)
 
 
-def labelled_log(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def labelled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log with gaps and periods."""
-    checked = checked_log(spark, sf_dir, max_rows)
-    gaps = gap_seconds(checked.log, ORDER, max_rows=checked.max_rows)
-    return label_periods(gaps, ORDER, max_rows=checked.sessions)
+    return label_periods(gap_seconds(study_log(spark, sf_dir), ORDER), ORDER)
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
