@@ -19,7 +19,7 @@ from trialweave.models import linear, mixed, ranks, smooth
 from trialweave.operators import cohorts, columns, ratings, report, sequence, sessions, summaries
 from trialweave.operators.scans import stored
 from trialweave.plans import study
-from trialweave.plans.oracle import K, rnd, with_parts
+from trialweave.plans.oracle import K, rnd, with_gate, with_parts
 from trialweave.plans.study import ORDER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,34 @@ def session_summary(spark, d):
     return study.session_table(spark, d).select(*KEYS, *COUNTS, *TIMES, *RATES, *RATED, *PEOPLE)
 
 
+KEPT = "coalesce(Condition NOT IN ('50A_WRONG', '50A-2'), true)"
+
+
+@query(with_gate("labelled") + f"""SELECT {K}, event_id, {rnd('time_delta')}, InputWindowClosedID, InputWindowClosedFill,
+InputWindowOrderFilled, Period FROM labelled""")
+def gated_labels(spark, d):
+    """Gap, gate and label in one chain; the gaps are those of the whole log."""
+    log = sequence.gate_run(sequence.gap_seconds(study.study_log(spark, d, stops=True), ORDER), ORDER)
+    return sequence.label_periods(log, ORDER).select(
+        *KEYS, "event_id", "time_delta", "InputWindowClosedID", "InputWindowClosedFill", "InputWindowOrderFilled", "Period")
+
+
+@query(with_gate("metrics") + f"""SELECT {K}, {_sql_cols(COUNTS, TIMES)}, {rnd('mi_recog_trial / NULLIF(totalTrials, 0)', 'rate_trial')},
+{rnd('posTrial / NULLIF(totalTrials, 0)', 'rate_feedback')}, {rnd('mi_recog_rest / NULLIF(time_rest_min, 0)', 'fp_rate_minute')}
+FROM metrics WHERE {KEPT}""")
+def gated_sessions(spark, d):
+    return study.gated_sessions(spark, d).select(*KEYS, *COUNTS, *TIMES, "rate_trial", "rate_feedback", "fp_rate_minute")
+
+
+@query(with_gate("metrics") + f"""SELECT Participant, GameTitle, count(*) AS sessions, sum(totalTrials)::BIGINT AS trials,
+{rnd('CASE WHEN count(r) = count(*) THEN avg(r) END', 'mean_rate')}, {rnd('CASE WHEN count(r) = count(*) THEN min(r) END', 'min_rate')}
+FROM (SELECT *, mi_recog_trial / NULLIF(totalTrials, 0) AS r FROM metrics WHERE {KEPT}) GROUP BY 1, 2""")
+def gated_participants(spark, d):
+    return study.gated_sessions(spark, d).groupBy("Participant", "GameTitle").agg(
+        F.count(F.lit(1)).alias("sessions"), na.na_sum("totalTrials").alias("trials"),
+        na.na_mean("rate_trial").alias("mean_rate"), na.na_min("rate_trial").alias("min_rate"))
+
+
 @query(with_parts("metrics") + f"SELECT {K}, BCIProcessingMode, {_sql_cols(COUNTS, TIMES)} FROM metrics")
 def session_metrics(spark, d):
     return sessions.session_summary(study.labelled_log(spark, d)).select(*KEYS, "BCIProcessingMode", *COUNTS, *TIMES)
@@ -243,6 +271,27 @@ def bias_by_flag(spark, d):
         na="skip", mean_products=True)
 
 
+def _strict_means(expr):
+    a, b = expr
+    return f"CASE WHEN count({a}) = count(*) THEN avg({a}) END * CASE WHEN count({b}) = count(*) THEN avg({b}) END"
+
+
+@query(with_parts("st") + f"""SELECT bci_experience, GameTitle, {rnd(_strict_means(("PercNormalized", "rate_trial")), 'perc_bias')},
+{rnd(_strict_means(("FrustNormalized", "rate_feedback")), 'frust_bias')} FROM st GROUP BY 1, 2""", digits=6)
+def bias_by_flag_strict(spark, d):
+    """Unknown once an input is unknown."""
+    return summaries.group_means(
+        study.session_table(spark, d), ["bci_experience", "GameTitle"], [],
+        {"perc_bias": ("PercNormalized", "rate_trial"), "frust_bias": ("FrustNormalized", "rate_feedback")})
+
+
+@query(with_parts("st") + f"""SELECT GameTitle, {', '.join(rnd(f'CASE WHEN count({c}) = count(*) THEN avg({c}) END', c) for c in
+("rate_feedback", "rate_trial", "PercNormalized", "FrustNormalized"))} FROM st GROUP BY 1""")
+def means_by_game(spark, d):
+    return summaries.group_means(study.session_table(spark, d), ["GameTitle"],
+                                 ["rate_feedback", "rate_trial", "PercNormalized", "FrustNormalized"])
+
+
 def _game_means_sql(by):
     cols = ["rate_feedback", "rate_trial", "PercNormalized", "FrustNormalized"]
     body = ", ".join(rnd(f"CASE WHEN count({c}) = count(*) THEN avg({c}) END", c) for c in cols)
@@ -333,6 +382,11 @@ def cohort_high_trial(spark, d):
     return _extract(spark, d, "group_trial", "HIGH")
 
 
+@query(_extract_sql("group_feedback", "HIGH"))
+def cohort_high_feedback(spark, d):
+    return _extract(spark, d, "group_feedback", "HIGH")
+
+
 @query(_extract_sql("group_feedback_range", "HIGH"))
 def cohort_high_range(spark, d):
     return _extract(spark, d, "group_feedback_range", "HIGH")
@@ -379,12 +433,16 @@ def ratings_prepared(spark, d):
 
 
 @query(with_parts("log", "ratings") + f"""SELECT l.GameTitle, l.Participant, l.Condition, event_id, Event, GameOrder, OrderAll,
-{rnd('PercNormalized')} FROM log l LEFT JOIN ratings r ON l.GameTitle IS NOT DISTINCT FROM r.GameTitle
+{rnd('PercNormalized')} FROM (SELECT * REPLACE (CASE WHEN Participant % 13 = 0 AND Condition = '50A' THEN '50A_WRONG'
+WHEN Participant % 17 <> 0 THEN Condition END AS Condition) FROM log) l LEFT JOIN ratings r ON l.GameTitle IS NOT DISTINCT FROM r.GameTitle
 AND l.Participant IS NOT DISTINCT FROM r.Participant AND l.Condition IS NOT DISTINCT FROM r.Condition
 WHERE coalesce(l.Condition NOT IN ('50A_WRONG', '50A-2'), true)""")
 def log_with_ratings(spark, d):
     notes = study.study_ratings(spark, d).select(*KEYS, "GameOrder", "OrderAll", "PercNormalized")
-    return ratings.drop_discarded(ratings.attach_ratings(study.study_log(spark, d), notes)).select(
+    log = study.study_log(spark, d, stops=True)  # some labels are discarded, some unknown
+    log = log.withColumn("Condition", F.when((F.col("Participant") % 17 != 0) | (F.col("Condition") == "50A_WRONG"), F.col("Condition")))
+    log = log.withColumn("Event", F.when(F.col("Event") == "GameStopped", "MotorImagery").otherwise(F.col("Event")))
+    return ratings.drop_discarded(ratings.attach_ratings(log, notes)).select(
         *KEYS, "event_id", "Event", "GameOrder", "OrderAll", "PercNormalized")
 
 
@@ -763,7 +821,8 @@ def scalar_numbers(spark, d):
         sc.dummy("o_orderstatus", "F").alias("is_f"))
 
 
-@query("""SELECT event_id, TRY_CAST(substr(t, 1, 26 - event_id % 2) AS TIMESTAMP) IS NOT NULL AS parsed,
+@query("""SELECT event_id, epoch_us(CASE WHEN event_id % 8 < 7 THEN
+TRY_CAST(rtrim(substr(t, 1, 20 + (event_id % 7)::INTEGER), '.') AS TIMESTAMP) END) AS parsed,
 TRY_CAST(CASE WHEN event_id % 3 = 0 THEN props ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS number,
 concat(coalesce(CASE WHEN event_id % 5 > 0 THEN event_type END, 'NA'), '/', user_id) AS pasted,
 printf('%.2f', round_even(value, 2)) AS fixed, coalesce(CASE WHEN event_id % 5 > 0 THEN event_type END, 'none') AS filled
@@ -771,9 +830,11 @@ FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS t FROM events)""")
 def scalar_text(spark, d):
     some_type = F.when(F.col("event_id") % 5 > 0, F.col("event_type"))
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    part = F.rtrim(F.substring(text, F.lit(1), (20 + F.col("event_id") % 7).cast("int")), F.lit("."))  # 0 to 6 digits of the second
+    given = F.when(F.col("event_id") % 8 < 7, part).otherwise("no time")
     return table(spark, d, "events").select(
         "event_id",
-        sc.parse_timestamp(F.substring(text, F.lit(1), (26 - F.col("event_id") % 2).cast("int"))).isNotNull().alias("parsed"),
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), sc.parse_timestamp(given)).alias("parsed"),
         sc.to_number(F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.col("event_id").cast("string"))).alias("number"),
         na.paste_na(some_type, "user_id", sep="/").alias("pasted"),
         sc.fixed_decimals("value", 2).alias("fixed"), sc.default_value(some_type, "none").alias("filled"))
@@ -801,9 +862,15 @@ def all_text(spark, d):
     return columns.all_text(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 
 
-@query()
+@query(with_parts("st") + f"""SELECT {K}, rate_feedback IS NOT NULL AS known_x, coalesce(rate_feedback >= 0, true) AS near_x,
+coalesce(FrustNormalized >= 0, true) AS near_y FROM st""")
 def jitter_points(spark, d):
-    """Clipped, jittered points; random, so only the row count can be compared."""
-    return study.session_table(spark, d).select(
-        *KEYS, sc.n_clip(sc.jitter("rate_feedback", 0.02, seed=7)).alias("x"),
+    """Clipped, jittered points; the noise is random, so its bounds are compared."""
+    x, y = F.col("rate_feedback"), F.col("FrustNormalized")
+    points = study.session_table(spark, d).select(
+        *KEYS, x, y, sc.n_clip(sc.jitter("rate_feedback", 0.02, seed=7)).alias("x"),
         sc.n_clip(sc.jitter("FrustNormalized", 0.02, seed=8)).alias("y"))
+    return points.select(
+        *KEYS, F.col("x").isNotNull().alias("known_x"),
+        F.coalesce(F.abs(F.col("x") - sc.n_clip(x)) <= 0.02, F.lit(True)).alias("near_x"),
+        F.coalesce(F.abs(F.col("y") - sc.n_clip(y)) <= 0.02, F.lit(True)).alias("near_y"))

@@ -29,7 +29,7 @@ SELECT *, CASE
     WHEN Event = 'InputWindowChange' AND InputWindow = 'Closed' THEN
       count(CASE WHEN Event = 'InputWindowChange' AND InputWindow = 'Closed' THEN 1 END) OVER
         (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING)
-    WHEN Event = 'GameRunning' OR (Event = 'InputWindowChange' AND InputWindow = 'Open') THEN -1 ELSE 0 END
+    WHEN Event IN ('GameRunning', 'GameStopped') OR (Event = 'InputWindowChange' AND InputWindow = 'Open') THEN -1 ELSE 0 END
   AS InputWindowClosedID FROM gaps"""),
     "marked": (("numbered",), f"""
 SELECT *, max(InputWindowClosedID) OVER (PARTITION BY {K}) AS last_id FROM numbered"""),
@@ -123,13 +123,28 @@ FROM st GROUP BY 1, 2"""),
 }
 
 
-def with_parts(*names: str) -> str:
+STOPS = """
+SELECT * REPLACE (CASE WHEN Event = 'MotorImagery' AND event_id % 11 = 0 THEN 'GameStopped' ELSE Event END AS Event,
+  CASE WHEN Participant % 13 = 0 AND Condition = '50A' THEN '50A_WRONG' ELSE Condition END AS Condition) FROM plain_log"""
+GATED = f"""
+SELECT * EXCLUDE (runs) FROM (SELECT *, count(CASE WHEN Event = 'GameRunning' THEN 1 END) OVER
+  (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS runs FROM ungated) WHERE runs = 1"""
+
+
+def with_gate(*names: str) -> str:
+    """The parts over the log with stops and discarded labels, reduced to the first game run of each session."""
+    plain = {"plain_log": PARTS["log"], "log": (("plain_log",), STOPS),
+             "ungated": (("log",), PARTS["gaps"][1]), "gaps": (("ungated",), GATED)}
+    return with_parts(*names, parts=PARTS | plain)
+
+
+def with_parts(*names: str, parts: dict = PARTS) -> str:
     """``WITH`` clause of the named parts and all they build on."""
     chosen: dict[str, str] = {}
 
     def add(name: str) -> None:
         if name not in chosen:
-            needs, body = PARTS[name]
+            needs, body = parts[name]
             for n in needs:
                 add(n)
             chosen[name] = body

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import to_number
-from trialweave.operators.ratings import attach_ratings, prepare_ratings
-from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, label_periods
+from trialweave.operators.ratings import attach_ratings, drop_discarded, prepare_ratings
+from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, gate_run, label_periods
 from trialweave.operators.sessions import experience_flags, session_rates, session_summary
 
 ORDER = ("Timestamp", "event_id")
@@ -36,8 +36,12 @@ def _session_columns() -> dict:
             "Condition": F.when(block == 0, "50A").when(block == 1, "50B").when(block == 2, "100A").otherwise("100B")}
 
 
-def study_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a typed game log."""
+def study_log(spark: SparkSession, sf_dir: str, stops: bool = False) -> DataFrame:
+    """The event table as a typed game log.
+
+    ``stops`` adds what the plain mapping has none of: every 11th click stops the game, and the
+    first condition of every 13th participant carries a label that is discarded.
+    """
     kind, value = F.col("event_type"), F.col("value")
     names = {"purchase": "GameRunning", "view": "InputWindowChange", "error": "InputWindowChange",
              "click": "MotorImagery", "signup": "GameDecision"}
@@ -45,8 +49,13 @@ def study_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for source, name in names.items():
         event = F.when(kind == source, name).otherwise(event)
     change = kind.isin("view", "error")
+    keys = _session_columns()
+    if stops:
+        event = F.when((kind == "click") & (F.col("event_id") % 11 == 0), "GameStopped").otherwise(event)
+        wrong = (F.col("user_id") % 13 == 0) & (keys["Condition"] == "50A")
+        keys["Condition"] = F.when(wrong, "50A_WRONG").otherwise(keys["Condition"])
     return table(spark, sf_dir, "events").select(
-        *[c.alias(n) for n, c in _session_columns().items()],
+        *[c.alias(n) for n, c in keys.items()],
         F.col("ts").alias("Timestamp"), "event_id", event.alias("Event"),
         F.when(kind == "view", "Open").when(kind == "error", "Closed").alias("InputWindow"),
         F.when(change, to_number(F.regexp_extract("props", r"(\d+)", 1))).alias("InputWindowOrder"),
@@ -108,6 +117,12 @@ def labelled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_periods(gap_seconds(study_log(spark, sf_dir), ORDER), ORDER)
 
 
+def gated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: gaps, the first game run of each session, periods, metrics, discarded labels, rates."""
+    log = gate_run(gap_seconds(study_log(spark, sf_dir, stops=True), ORDER), ORDER)
+    return session_rates(drop_discarded(session_summary(label_periods(log, ORDER))))
+
+
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per session: metrics, rates, ratings and flags.
 
