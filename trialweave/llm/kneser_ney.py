@@ -3,10 +3,11 @@
 The model is of order ORDER over UTF-16 code units, case and white space included; a document starts after ORDER - 1
 zeros. It is trained on the whole text of all trusted documents, so its counts grow with the input. An n-gram is one long.
 
-Counts are summed by n-gram. Scoring deals the documents to blocks of about BLOCK_CHARS characters by the hash of their id.
-The distinct n-grams of a block are joined, shard by shard, to the discounted counts of each order and the back-off weights
-of their contexts, and return to the block, where the log probabilities are summed by document. The texts are shuffled once:
-both uses of the blocks read the same exchange.
+Counts are summed by n-gram. The distinct n-grams of all documents are joined, shard by shard, to the discounted counts of
+each order and the back-off weights of their contexts. Scoring deals the documents, packed, to blocks of about BLOCK_CHARS
+characters by the hash of their id; the distinct n-grams of a block fetch their log probabilities in one more join and
+return to the block, where they are summed by document. The texts are shuffled once: both uses of the blocks read the same
+exchange.
 
 A document is kept if its perplexity is between two quantiles of the trusted documents of its language: junk has a high
 perplexity, endless repetition a low one. Languages with under MIN_TRUSTED trusted documents use those of all languages.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from trialweave.llm.common import hot_keys, known_key, split_join, stored
 
 ORDER, UNIT = 4, 16
-BLOCK_CHARS, CHUNK = 2_000_000, 1 << 20
+BLOCK_CHARS, CHUNK = 12_000_000, 1 << 20
 LOW, HIGH, MIN_TRUSTED = 0.001, 0.995, 50
 #: Up to this many trusted ids (about 50 MB) are broadcast to select the training texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -126,39 +127,74 @@ def log_probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]
     return found.select("gram", F.log(p).alias("logp"))
 
 
+def _distinct_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, _ in grams(batch.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(pd.unique(keys))], ["gram"])
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, docs): the rows of a batch that go to one block, compressed together."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        rows, at = batch.select(["doc_id", "lang", "text"]).take(pa.array(order)), blocks[order]
+        cuts = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
+        packed = [_packed(rows.slice(i, j - i)) for i, j in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array(packed, pa.binary())], ["block", "docs"])
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(docs: bytes) -> pa.Table:
+    return pa.ipc.open_stream(docs).read_all()
+
+
 def _block_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block of a task: fewer than the characters of a block."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        at = batch.column("block").to_numpy()
-        texts = np.array(batch.column("text").to_pylist(), dtype=object)
-        for block in np.unique(at):
-            for keys, _ in grams(list(texts[at == block])):
+        for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+            for keys, _ in grams(_unpacked(docs.as_py()).column("text").to_pylist()):
                 found = pd.unique(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "gram"])
+                held[block] = pd.unique(np.concatenate([held[block], found])) if block in held else found
+    for block, found in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "gram"])
 
 
-def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
+def _score(packed: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(known.column("gram").to_numpy(), kind="stable")
     table, logp = known.column("gram").to_numpy()[order], known.column("logp").to_numpy()[order]
-    sums, n = np.zeros(docs.num_rows), np.zeros(docs.num_rows)
-    for keys, owner in grams(docs.column("text").to_pylist()):
-        codes, found = pd.factorize(keys)
-        each = logp[np.searchsorted(table, found)][codes]
-        sums += np.bincount(owner, each, minlength=docs.num_rows)
-        n += np.bincount(owner, minlength=docs.num_rows)
-    value = pa.array(np.exp(-sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)
-    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "perplexity": value})
+    scored = []
+    for part in packed.column("docs"):
+        docs = _unpacked(part.as_py())
+        sums, n = np.zeros(docs.num_rows), np.zeros(docs.num_rows)
+        for keys, owner in grams(docs.column("text").to_pylist()):
+            codes, found = pd.factorize(keys)
+            each = logp[np.searchsorted(table, found)][codes]
+            sums += np.bincount(owner, each, minlength=docs.num_rows)
+            n += np.bincount(owner, minlength=docs.num_rows)
+        value = pa.array(np.exp(-sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)
+        scored.append(pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "perplexity": value}))
+    return pa.concat_tables(scored)
 
 
 def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, lang and perplexity of each row of `docs` (doc_id, lang, text)."""
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // block_chars + 1))
-    blocks = docs.withColumn("block", block).repartition("block")
-    wanted = blocks.mapInArrow(_block_grams, "block long, gram long").repartition("gram")
-    known = wanted.join(log_probabilities(wanted.select("gram").distinct(), model), "gram").select("block", "gram", "logp")
+    blocks = docs.withColumn("block", block).mapInArrow(_pack, "block long, docs binary").repartition("block")
+    known = stored(log_probabilities(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct(), model))
+    wanted = blocks.mapInArrow(_block_grams, "block long, gram long")
+    fetched = wanted.join(known, "gram").select("block", "gram", "logp")
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double"
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score, schema)
+    return blocks.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(_score, schema)
 
 
 def classify(
