@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id."""
+    """Of each component of near copies, the document with the smallest id. Rows that repeat an id, null too, are one document."""
     groups = simhash.simhash_components(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
@@ -41,9 +41,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with `taken` words of each (repeats counted) and its source's target."""
-    taken = pivotal.pivotal_mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return docs.join(taken, "doc_id")
+    """The documents that the mix takes words of, with `taken` words of each (repeats counted) and its source's target.
+
+    Columns of `docs` that have the name of a result give way to it. Rows that are the same in id, text and source take the
+    same, in whole words.
+    """
+    added = ("size", "source_size", "target", "taken")
+    mark = F.struct(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", "source").alias("hash"))
+    marked = docs.drop(*added).withColumn("_mark", mark)
+    mixed = pivotal.pivotal_mix(marked.select("_mark", "text", "source"), doc="_mark")
+    same = [F.first(c).alias(c) for c in added[:3]]
+    taken = mixed.groupBy(F.col("doc_id").alias("_mark")).agg(*same, F.floor(F.sum("taken") / F.count("*")).alias("taken"))
+    return marked.join(taken.where("taken > 0"), "_mark").drop("_mark")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

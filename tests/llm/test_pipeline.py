@@ -38,3 +38,21 @@ def test_empty_documents_pass_through(spark, small_dir):
         kept = stage(spark, kept, small_dir)
     assert kept.count() == 0
     assert exact_dedup.exact_dedup(kept.select("doc_id", "text")).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, small_dir):
+    docs = common.table(spark, small_dir, "documents").where("doc_id < 40")
+    clean = "Calm notes on how bread is baked slowly at home while the rain falls on an old tin roof"
+    odd = [(None, clean, "en", None, 1), (900_010, clean + " again", "en", "odd", 1), (900_010, clean + " again", "en", "odd", 1), (900_011, "", None, None, None), (900_012, None, "en", "odd", 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit("x") for c in ("taken", "toxic", "_site", "print", "size", "n_lines", "item_id")})
+    clash = set(docs.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        made = common.stored(stage(spark, docs, small_dir))
+        assert clash <= set(made.columns) and len(set(made.columns)) == len(made.columns), name
+        rows = made.where("doc_id is null or doc_id = 900010").collect()
+        assert len(rows) <= 3, name
+        assert name in ("mix", "simhash_near_dedup") or len(rows) == 3, name
+    assert {r.taken for r in rows if r.doc_id == 900_010} <= set(range(1, 2 * 20 + 1))
+    twice = [r.taken for r in rows if r.doc_id == 900_010]
+    assert len(twice) in (0, 2) and len(set(twice)) <= 1
+    assert made.where("taken > 2 * size").count() == 0

@@ -17,7 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share; set here only where the session has none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trialweave-llm-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trialweave-llm-"))
     return context.getCheckpointDir()
 
 

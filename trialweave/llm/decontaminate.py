@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, MIN_WORDS, MIN_COVERAGE, LONG_RUN = 8, 4, 0.5, 25
-#: Characters of benchmark texts in one block.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark texts in one block: at most about two million windows, some 300 MB on the driver and in a task.
+BLOCK_CHARS = 4_000_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Written numbers and units of measure, in English.
@@ -135,12 +135,14 @@ def contaminated(
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         made = part.mapInArrow(_benchmark_windows, f"item_id {types['item']}, key string, at int, size int, slots array<string>, anchor string")
-        rows = made.collect()
+        rows = made.select("key", "size", "anchor").distinct().toArrow()
+        keys = frozenset(rows.column("key").to_pylist())
         anchors: dict[str, set[tuple[int, int]]] = {}
-        for r in rows:
-            forms = r["key"].split(" ")[1:]
-            anchors.setdefault(r["anchor"], set()).update((r["size"], k) for k, w in enumerate(forms) if w == r["anchor"])
-        held = spark.sparkContext.broadcast(({w: sorted(x) for w, x in anchors.items()}, frozenset(r["key"] for r in rows)))
+        for key, size, anchor in zip(*(rows.column(c) for c in ("key", "size", "anchor")), strict=True):
+            anchor = anchor.as_py()
+            places = enumerate(key.as_py().split(" ")[1:])
+            anchors.setdefault(anchor, set()).update((size.as_py(), k) for k, w in places if w == anchor)
+        held = spark.sparkContext.broadcast(({w: sorted(x) for w, x in anchors.items()}, keys))
         run = lambda batches, held=held: _document_windows(*held.value)(batches)
         hits = source.mapInArrow(run, f"doc_id {types['doc']}, key string, doc_at int, doc_slots array<string>")
         joined = hits.join(F.broadcast(made.drop("anchor").distinct()), "key")
