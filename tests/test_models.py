@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.models import linear, mixed, ranks, smooth
-from trialweave.models.tails import chi2_tail
+from trialweave.models.tails import chi2_tail, t_tail
 
 # Published base-running times, three methods by 22 players.
 BASE_RUNNING = """5.40 5.50 5.55 5.85 5.70 5.75 5.20 5.60 5.50 5.55 5.50 5.40 5.90 5.85 5.70 5.45 5.55 5.60 5.40 5.40 5.35
@@ -24,6 +24,16 @@ def test_chi_square_tail():
         chi2_tail(1.0, 0)
 
 
+def test_t_tail(spark):
+    # published 97.5 % points, the normal one for very many degrees of freedom
+    points = [(12.706204736, 1, 0.05), (-4.302652730, 2, 0.05), (2.228138852, 10, 0.05), (1.983971519, 100, 0.05),
+              (1.959963985, 10**12, 0.05), (0.0, 7, 1.0), (1e9, 10**12, 0.0)]
+    df = spark.createDataFrame(points, "t double, df bigint, p double").withColumn("got", t_tail(F.col("t"), F.col("df")))
+    assert all(r.got == pytest.approx(r.p, abs=1e-8) for r in df.collect())
+    none = spark.createDataFrame([(1.0, 0), (None, 4)], "t double, df bigint")
+    assert [r[0] for r in none.select(t_tail(F.col("t"), F.col("df"))).collect()] == [None, None]
+
+
 def base_running(spark):
     values = [float(v) for v in BASE_RUNNING.split()]
     return spark.createDataFrame([(i // 3, "abc"[i % 3], v) for i, v in enumerate(values)], "player int, method string, t double")
@@ -136,7 +146,10 @@ def test_regression_agrees_with_library(spark):
     assert s.slope == pytest.approx(table["x"].estimate) and s.intercept == pytest.approx(table["(Intercept)"].estimate)
     assert s.se_slope == pytest.approx(table["x"].std_error) and s.t_intercept == pytest.approx(table["(Intercept)"].t_value)
     assert s.r2 == pytest.approx(table["x"].r2) and s.df_residual == table["x"].df_residual == 38
-    assert table["x"].p_value < 1e-10
+    assert table["x"].p_value < 1e-10 and s.p_slope < 1e-10
+    weak = df.withColumn("y", F.col("y") - 2 * F.col("x"))
+    flat, table = linear.ols_summary(weak, "y", "x").first(), {r.term: r for r in linear.linear_model(weak, "y", ["x"]).collect()}
+    assert flat.p_slope == pytest.approx(table["x"].p_value) and flat.p_intercept == pytest.approx(table["(Intercept)"].p_value, abs=1e-12)
     by = linear.ols_by(df, "y", "x", []).first()
     assert (by.slope, by.n) == (pytest.approx(s.slope), 40)
 

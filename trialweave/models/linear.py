@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import perc_change
+from trialweave.models.tails import t_tail
 from trialweave.operators.scans import join_null_safe
 
+#: Grid points of a line that are made from one row at a time.
+GRID_RUN = 1000
+
 
 def ols_by(df: DataFrame, y: str, x: str, keys: Sequence[str]) -> DataFrame:
     """Slope, intercept, R² and row count per group; rows with a missing value drop out.
@@ -25,7 +29,7 @@ def ols_by(df: DataFrame, y: str, x: str, keys: Sequence[str]) -> DataFrame:
 
 
 def ols_summary(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Estimates with standard errors, t values, R² and residual standard error."""
+    """Estimates with standard errors, t values, two-sided p-values, R² and residual standard error."""
     sums = df.groupBy(*keys).agg(
         F.regr_count(y, x).alias("n"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"), F.regr_avgx(y, x).alias("_mx"), F.regr_avgy(y, x).alias("_my"))
@@ -41,10 +45,11 @@ def ols_summary(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> Data
         "se_slope": F.try_divide(F.col("sigma"), F.sqrt(sxx)),
         "se_intercept": F.col("sigma") * F.sqrt(F.try_divide(F.lit(1.0), n.cast("double"))
                                                 + F.try_divide(F.col("_mx") * F.col("_mx"), sxx))})
-    return fitted.withColumns({
+    fitted = fitted.withColumns({
         "t_slope": F.try_divide(F.col("slope"), F.col("se_slope")),
-        "t_intercept": F.try_divide(F.col("intercept"), F.col("se_intercept"))}).drop(
-            "_sxx", "_syy", "_sxy", "_mx", "_my", "_sse")
+        "t_intercept": F.try_divide(F.col("intercept"), F.col("se_intercept"))})
+    return fitted.withColumns({f"p_{term}": t_tail(F.col(f"t_{term}"), F.col("df_residual"))
+                               for term in ("slope", "intercept")}).drop("_sxx", "_syy", "_sxy", "_mx", "_my", "_sse")
 
 
 def linear_model(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
@@ -85,11 +90,14 @@ def fit_line(df: DataFrame, y: str, x: str, keys: Sequence[str], grid: str = "ob
         F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.regr_avgy(y, x).alias("_my"),
         (F.min(x) * 100).alias("_from"), (F.max(x) * 100).alias("_to")).where(F.col("_my").isNotNull())
     if grid == "unit":
-        points = unit_grid_column()
-    else:
-        steps = F.floor(F.col("_to") - F.col("_from") + F.lit(1e-10)).cast("int")
-        points = F.transform(F.sequence(F.lit(0), steps), lambda k: (F.col("_from") + k) / 100)
-    return (fits.withColumn("x", F.explode(points))
+        lines = fits.withColumn("x", F.explode(unit_grid_column()))
+    else:  # runs of points first, so that a wide range makes no long array
+        steps = F.floor(F.col("_to") - F.col("_from") + F.lit(1e-10)).cast("bigint")
+        begin = F.col("_run") * GRID_RUN
+        lines = fits.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(steps / GRID_RUN).cast("bigint"))))
+        lines = lines.withColumn("x", F.explode(F.sequence(begin, F.least(steps, begin + GRID_RUN - 1))))
+        lines = lines.withColumn("x", (F.col("_from") + F.col("x")) / 100)
+    return (lines
             .select(*keys, "x", F.coalesce(F.col("_a") + F.col("_b") * F.col("x"), F.col("_my")).alias("y")))
 
 

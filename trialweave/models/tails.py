@@ -1,9 +1,15 @@
-"""Upper tail of the chi-square distribution for whole degrees of freedom."""
+"""Tails of the chi-square and t distributions for whole degrees of freedom."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Steps of the quadrature, and the logarithm below its largest value at which an integrand is cut.
+STEPS, NEGLIGIBLE = 512, 40.0
+
 
 def chi2_tail(x: float, df: int) -> float:
     """Finite sum: start from one or two degrees of freedom and go up in steps of two."""
@@ -20,3 +26,26 @@ def chi2_tail(x: float, df: int) -> float:
         tail += math.exp(done / 2 * math.log(half) - half - math.lgamma(done / 2 + 1))
         done += 2
     return min(tail, 1.0)
+
+
+def _cosine_power(sine2: Column, df: Column) -> Column:
+    """Integral of cos(a) ** (df - 1) from the angle with this squared sine to a right angle, by Simpson's rule."""
+    power = (df - 1).cast("double")
+    fall = F.coalesce(F.try_divide(F.lit(2 * NEGLIGIBLE), power), F.lit(float("inf")))
+    low = F.asin(F.sqrt(sine2))
+    high = F.asin(F.sqrt(-F.expm1(F.log1p(-sine2) - fall)))
+    width = (high - low) / STEPS
+
+    def term(total: Column, k: Column) -> Column:
+        share = F.when(k.isin(0, STEPS), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+        sine = F.sin(low + width * k)
+        at_end = F.when(power == 0, 1.0).otherwise(0.0)
+        return total + share * F.coalesce(F.exp(power / 2 * F.log1p(-sine * sine)), at_end)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), term) * width / 3
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """P(|T| > |t|): with t = sqrt(df) tan(a), the density is a power of cos(a). NULL without degrees of freedom."""
+    sine2 = t * t / (df + t * t)
+    return F.when(df > 0, _cosine_power(sine2, df) / _cosine_power(F.lit(0.0), df))

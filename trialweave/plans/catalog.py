@@ -19,7 +19,7 @@ from trialweave.models import linear, mixed, ranks, smooth
 from trialweave.operators import cohorts, columns, ratings, report, sequence, sessions, summaries
 from trialweave.operators.scans import stored
 from trialweave.plans import study
-from trialweave.plans.oracle import K, rnd, with_gate, with_parts
+from trialweave.plans.oracle import K, chi3_tail_sql, rnd, t_tail_sql, with_gate, with_parts
 from trialweave.plans.study import ORDER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,12 +470,24 @@ f AS (SELECT *, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, sqrt((syy
 e AS (SELECT *, sigma / sqrt(sxx) AS se_slope, sigma * sqrt(1 / n + mx * mx / sxx) AS se_intercept FROM f)
 SELECT n::BIGINT AS n, {rnd('slope')}, {rnd('intercept')}, (n - 2)::BIGINT AS df_residual, {rnd('sxy * sxy / (sxx * syy)', 'r2')},
 {rnd('sigma')}, {rnd('se_slope')}, {rnd('se_intercept')}, {rnd('slope / se_slope', 't_slope')},
-{rnd('intercept / se_intercept', 't_intercept')} FROM e""", digits=6)
+{rnd('intercept / se_intercept', 't_intercept')}, {rnd(t_tail_sql('slope / se_slope', 'n - 2'), 'p_slope')},
+{rnd(t_tail_sql('intercept / se_intercept', 'n - 2'), 'p_intercept')} FROM e""", digits=6)
 def ols_summary(spark, d):
     return linear.ols_summary(study.session_table(spark, d), "mi_recog", "rate_feedback")
 
 
-@query(digits=6)
+@query(with_parts("st") + """, z AS (SELECT rate_trial AS y, ConditionOrder AS x1, CASE WHEN GameTitle = 'Kiwi' THEN 1.0 ELSE 0.0 END AS x2
+FROM st WHERE rate_trial IS NOT NULL AND ConditionOrder IS NOT NULL AND GameTitle IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, regr_sxx(y, x1) AS s11, regr_sxx(y, x2) AS s22,
+  regr_syy(y, x1) AS syy, regr_sxy(x1, x2) AS s12, regr_sxy(y, x1) AS s1y, regr_sxy(y, x2) AS s2y FROM z),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+  (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+e AS (SELECT *, syy - b1 * s1y - b2 * s2y AS sse, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS v FROM b),
+t AS (SELECT unnest(['ConditionOrder', 'is_kiwi', '(Intercept)']) AS term, unnest([b1, b2, my - b1 * m1 - b2 * m2]) AS estimate,
+  unnest([sqrt(v * s22 / det), sqrt(v * s11 / det), sqrt(v * (1 / n + (m1 * m1 * s22 + m2 * m2 * s11 - 2 * m1 * m2 * s12) / det))]) AS std_error,
+  1 - sse / syy AS r2, n - 3 AS df FROM e)
+""" + f"""SELECT term, {rnd('estimate')}, {rnd('std_error')}, {rnd('estimate / std_error', 't_value')},
+{rnd(t_tail_sql('estimate / std_error', 'df'), 'p_value')}, {rnd('r2')}, df::INTEGER AS df_residual FROM t""", digits=6)
 def linear_model(spark, d):
     """Two predictors with p-values."""
     rows = study.session_table(spark, d).withColumn("is_kiwi", sc.dummy("GameTitle", "Kiwi"))
@@ -587,7 +599,9 @@ def friedman(spark, d):
     return ranks.friedman_stats(stored(_rating_cells(spark, d)), "y", "Condition", "Participant", drop_incomplete=True)
 
 
-@query(digits=6)
+@query(_BLOCKS_SQL + f""", f AS (SELECT 12 * sum(power(rj - n * 5 / 2, 2)) / (any_value(n) * 20 - any_value(ties) / 3) AS statistic,
+any_value(n)::BIGINT AS blocks FROM rs, tot)
+SELECT {rnd('statistic')}, 3::INTEGER AS df, blocks, {rnd(chi3_tail_sql('statistic'), 'p_value')} FROM f""", digits=6)
 def friedman_test(spark, d):
     """With the p-value."""
     result = ranks.friedman(stored(_rating_cells(spark, d)), "y", "Condition", "Participant", drop_incomplete=True)

@@ -160,3 +160,22 @@ def rnd(expr: str, alias: str | None = None, digits: int | None = None) -> str:
     Without ``digits`` the number of the registered query is filled in later.
     """
     return f"round({expr}, {'@D' if digits is None else digits}) + 0.0 AS {alias or expr}"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of the t distribution by its finite series, one for even and one for odd degrees of freedom."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    even = (f"list_sum(list_transform(generate_series(0, CAST({df} AS BIGINT) // 2 - 1), lambda j: "
+            f"exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * power(cos({a}), 2 * j)))")
+    odd = (f"coalesce(list_sum(list_transform(generate_series(0, (CAST({df} AS BIGINT) - 3) // 2), lambda j: "
+           f"sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * power(cos({a}), 2 * j + 1))), 0)")
+    return (f"CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN 1 - sin({a}) * {even} "
+            f"ELSE 1 - 2 / pi() * ({a} + sin({a}) * {odd}) END")
+
+
+def chi3_tail_sql(x: str) -> str:
+    """Upper tail of the chi-square distribution with three degrees of freedom, by Simpson's rule on its root."""
+    value = f"power(sqrt({x}) * k / 2000, 2) * exp(-power(sqrt({x}) * k / 2000, 2) / 2)"
+    share = "CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"1 - sqrt(2 / pi()) * sqrt({x}) / 6000 * "
+            f"list_sum(list_transform(generate_series(0, 2000), lambda k: {share} * {value}))")
