@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, exact_dedup, kneser_ney, line_dedup, ordinal, pii, pivotal, secret_scan, simhash, wrapper
+from trialweave.llm import (
+    alignment,
+    conversations,
+    decontaminate,
+    exact_dedup,
+    kneser_ney,
+    line_dedup,
+    ordinal,
+    pii,
+    pivotal,
+    secret_scan,
+    simhash,
+    superminhash,
+    wrapper,
+)
 from trialweave.llm.common import span_columns, table
 
 
@@ -53,6 +67,18 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS, "doc_id")
 
 
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def conversation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_decontaminate": decontaminate_query,
@@ -64,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": mix_query,
     "op9_toxicity": toxicity_query,
     "op10_personal_data": personal_data_query,
+    "op11_superminhash": near_dedup_query,
+    "op12_conversations": conversation_query,
+    "op13_alignment": alignment_query,
 }
 
 ORACLE: dict[str, str] = {
