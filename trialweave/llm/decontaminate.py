@@ -10,9 +10,11 @@ A document is contaminated by an item when consistent occurrences cover MIN_COVE
 Exact and cheap search: every benchmark window names its longest word as its anchor, so only windows of a document around
 an anchor are made. The benchmark is taken in blocks of bounded size, each against all documents; each block is broadcast.
 
-Defined results: null and empty texts and items match nothing. An item of fewer than WINDOW tokens is one window; windows
-of fewer than MIN_WORDS words outside placeholders identify nothing and are left out. Rows that repeat a doc_id or item_id
-count as one. Case and punctuation do not matter. Other columns are not read.
+Defined results: null and empty texts and items match nothing; empty tables give an empty result. An item of fewer than WINDOW
+tokens is one window. Windows of fewer than MIN_WORDS words outside placeholders identify nothing and are left out; an item that has
+no other window is searched for by its tokens as they stand, from MIN_TOKENS tokens on. `unsearched` returns the items below that.
+Whole texts are read, however long. Rows that repeat doc_id and text, or item_id, count as one; rows of one doc_id (null too) with different texts
+are documents of their own. Case and punctuation do not matter. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MIN_WORDS, MIN_COVERAGE, LONG_RUN = 8, 4, 0.5, 25
+WINDOW, MIN_WORDS, MIN_TOKENS, MIN_COVERAGE, LONG_RUN = 8, 4, 4, 0.5, 25
 #: Characters of benchmark texts in one block: at most about two million windows, some 300 MB on the driver and in a task.
 BLOCK_CHARS = 4_000_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
@@ -69,6 +71,15 @@ def windows(text: str | None, window: int = WINDOW) -> Iterator[tuple[str, int,
     """key, start, size, values of the slots and anchor of each window of a benchmark item."""
     made = template(text or "")
     size = min(window, len(made.plain))
+    found = list(_template_windows(made, size))
+    if not found and size >= MIN_TOKENS:
+        for start in range(len(made.plain) - size + 1):
+            part = made.values[start : start + size]
+            found.append((f"x {' '.join(part)}", start, size, [], max(part, key=lambda w: (len(w), w))))
+    yield from found
+
+
+def _template_windows(made: Template, size: int) -> Iterator[tuple[str, int, int, list[str], str]]:
     for start in range(len(made.plain) - size + 1 if size else 0):
         for view, forms in (("p", made.plain), ("n", made.named)):
             part = forms[start : start + size]
@@ -99,6 +110,10 @@ def _document_windows(anchors: dict[str, list[tuple[int, int]]], keys: frozenset
         made = None
         for start, size in sorted(starts):
             part = low[start : start + size]
+            if "x" in views and (key := "x " + " ".join(part)) in keys:
+                yield key, start, []
+            if not views & {"n", "p"}:
+                continue
             if "n" not in views and not any(w[0].isdigit() or w in NUMBERS for w in part) and (start == 0 or low[start] not in UNITS):
                 if (key := "p " + " ".join(part)) in keys:
                     yield key, start, []
@@ -124,12 +139,12 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, n_windows, covered, n_tokens, coverage, new_values."""
+    """One row per contaminated document (doc_id and text) and item: doc_id, item_id, n_windows, covered, n_tokens, coverage, new_values."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
-    source = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("hash")).alias("doc_id"), F.col(text).alias("text"))
     types = {"doc": dict(source.dtypes)["doc_id"], "item": dict(items.dtypes)["item_id"]}
     result = None
     for block in range(blocks):
@@ -150,7 +165,19 @@ def contaminated(
     sizes = items.mapInArrow(_token_counts, f"item {types['item']}, n_tokens int").groupBy("item").agg(F.max("n_tokens").alias("n_tokens"))
     found = _occurrences(result).join(sizes, F.col("item_id").eqNullSafe(F.col("item"))).withColumn("coverage", F.col("covered") / F.col("n_tokens"))
     enough = (F.col("coverage") >= MIN_COVERAGE) | (F.col("covered") >= LONG_RUN)
-    return found.where(enough).select("doc_id", "item_id", "n_windows", "covered", "n_tokens", "coverage", "new_values")
+    return found.where(enough).select(F.col("doc_id.id").alias("doc_id"), "item_id", "n_windows", "covered", "n_tokens", "coverage", "new_values")
+
+
+def unsearched(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item_id of the items that have no window: empty ones and those too short to identify anything."""
+    items = benchmark.select(F.col(item).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = [next(windows(t), None) is None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(none, pa.bool_()))], ["item_id"])
+
+    return items.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}")
 
 
 def _token_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
