@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import decontaminate, line_dedup, ordinal, pivotal, simhash
@@ -16,7 +16,7 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
+    """Documents that the ordinal model, fitted on the labelled ones, does not reject; nulls and empty texts stay, rows that repeat are judged alike."""
     model = ordinal.fit(docs, table(spark, sf_dir, "labels"))
     return ordinal.with_severity(docs, model).where("not toxic").select(*docs.columns)
 
@@ -27,17 +27,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*docs.columns)
 
 
+def _mark(docs: DataFrame) -> Column:
+    """What tells rows apart: the id, known ones first, and a hash of all columns. Rows of one mark are the same in every column."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id. Rows that repeat an id, null too, are one document."""
-    groups = simhash.simhash_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of near copies, the one row with the smallest id (null ids last; rows of one id by a hash).
+
+    Rows that share an id, or have none, are documents of their own; of rows that are the same in every column one stays.
+    """
+    marked = docs.withColumn("_mark", _mark(docs))
+    groups = simhash.simhash_components(marked.select("_mark", "text"), doc="_mark")
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_mark")).distinct()
+    return marked.join(first, "_mark", "left_semi").dropDuplicates(["_mark"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Rows that hold no benchmark item; rows that share an id, or have none, are judged each by its own text."""
+    marked = docs.withColumn("_mark", _mark(docs))
+    found = decontaminate.contaminated(marked.select("_mark", "text"), table(spark, sf_dir, "benchmark"), doc="_mark")
+    return marked.join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
