@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.models import linear, mixed, ranks, smooth
+from trialweave.models import linear, mixed, ranks, smooth, tails
 from trialweave.models.tails import chi2_tail, t_tail
 
 # Published base-running times, three methods by 22 players.
@@ -221,3 +221,30 @@ def test_smoother_against_brute_force(spark, pieces):
     assert got.keys() == want.keys()
     for key, value in want.items():
         assert got[key] == pytest.approx(value, abs=1e-9), key
+
+
+def test_chi_square_tail_as_a_column(spark):
+    cases = [(x, df) for x in (0.0, 1e-6, 0.3, 1.0, 3.84, 11.0, 40.0, 200.0) for df in (1, 2, 3, 4, 5, 8, 9, 30, 101)]
+    got = spark.createDataFrame(cases, "x double, df int").withColumn("p", tails.chi2_tail_column(F.col("x"), F.col("df"))).collect()
+    for r in got:
+        assert r.p == pytest.approx(tails.chi2_tail(r.x, r.df), rel=1e-9, abs=1e-15), r
+    assert spark.sql("select 1.0D x, 0 df").select(tails.chi2_tail_column(F.col("x"), F.col("df"))).first()[0] is None
+
+
+def test_tests_and_r2_of_many_models_as_columns(spark, grouped):
+    df = spark.createDataFrame(grouped, "g int, x double, z double, y double")
+    stats = mixed.mixed_statistics(df, ["x", "z", "y"], "g")
+    models = {"none": ("y", []), "x": ("y", ["x"]), "both": ("y", ["x", "z"])}
+    fits = mixed.fit_models(stats, models)
+    for name, (y, xs) in models.items():
+        alone = mixed.fit_mixed(stats, y, xs)
+        assert alone.deviance == pytest.approx(fits[name].deviance) and alone.estimates == pytest.approx(fits[name].estimates, rel=1e-5)
+    table = mixed.fits_table(spark, fits)
+    pairs = spark.createDataFrame([("none", "x"), ("none", "both"), ("x", "both")], "small string, large string")
+    for r in mixed.lr_tests(table, pairs).collect():
+        want = mixed.lr_test(fits[r.small], fits[r.large])
+        assert (r.statistic, r.df) == (pytest.approx(want.statistic), want.df) and r.p_value == pytest.approx(want.p_value)
+    for r in mixed.mixed_r2s(table).collect():
+        assert (r.r2_marginal, r.r2_conditional) == pytest.approx(mixed.mixed_r2(fits[r.model]))
+    with pytest.raises(Exception, match="not nested"):
+        mixed.lr_tests(table, spark.createDataFrame([("x", "none")], "small string, large string")).collect()

@@ -43,6 +43,14 @@ def skewed(spark, small_dir):
     return log.withColumn("Participant", F.when(F.col("event_id") % 7 != 1, F.col("Participant")))
 
 
+def odd(log):
+    """Unknown events, window states that are none of the log's, and sessions of few kinds of rows."""
+    draw = F.pmod(F.xxhash64("event_id"), F.lit(40))
+    log = log.withColumn("Event", F.when(draw == 0, F.lit(None)).when(draw == 1, "GameStopped").otherwise(F.col("Event")))
+    log = log.withColumn("InputWindow", F.when(draw == 2, "Ajar").when(draw == 3, "Open").when(draw == 4, F.lit(None)).otherwise(F.col("InputWindow")))
+    return log.where("Participant is null or Participant % 5 > 0 or Event is null or InputWindow is null or InputWindow <> 'Closed'")
+
+
 @pytest.mark.parametrize("pieces", [False, True])
 def test_worked_session(spark, pieces):
     log = sequence.gap_seconds(worked_log(spark), ORDER)
@@ -59,12 +67,17 @@ def test_worked_session(spark, pieces):
     assert {k: row[k] for k in expected} == expected
 
 
-@pytest.mark.parametrize("name", ["session_gap", "gate", "label", "occurrence", "fill", "fill_both", "number", "number_keys"])
+@pytest.mark.parametrize("name", ["session_gap", "gate", "label", "label_run", "label_second_run", "label_odd", "occurrence", "fill", "fill_both", "number", "number_keys"])
 def test_scan_of_pieces_equals_window(skewed, name):
     run = {
         "session_gap": lambda m: sequence.gap_seconds(skewed, ORDER, partition_by=KEYS, pieces=m),
         "gate": lambda m: sequence.gate_run(skewed, ORDER, pieces=m),
+        "label_run": lambda m: (sequence.label_run(skewed, ORDER) if m else
+                                sequence.label_periods(sequence.gate_run(skewed, ORDER, pieces=False), ORDER, pieces=False)),
+        "label_second_run": lambda m: (sequence.label_run(skewed, ORDER, run=2) if m else sequence.label_periods(
+            sequence.between_markers(skewed, F.col("Event") == "GameRunning", ORDER, run=2, pieces=False), ORDER, pieces=False)),
         "label": lambda m: sequence.label_periods(skewed, ORDER, pieces=m),
+        "label_odd": lambda m: sequence.label_periods(odd(skewed), ORDER, pieces=m),
         "occurrence": lambda m: sequence.occurrence_id(skewed, ORDER, pieces=m),
         "fill": lambda m: sequence.fill_down(skewed, {"w": "InputWindow"}, ORDER, KEYS, pieces=m),
         "fill_both": lambda m: sequence.fill_down_up(skewed, ["InputWindow"], ORDER, KEYS, pieces=m),
@@ -86,12 +99,12 @@ def test_pieces_of_numbers_and_texts_follow_the_order(spark):
 
 
 def test_rows_are_shuffled_by_piece_once(skewed):
-    scan = scans.PieceScan(KEYS, list(ORDER))
-    out = scan.last_known(scan.running_sum(scan.placed(skewed), n=F.lit(1)), w=F.col("InputWindow"))
-    plan = plan_of(out)
-    by_piece = [line for line in plan.splitlines() if "Exchange hashpartitioning(_piece" in line]
-    assert len(by_piece) <= 3 and "SinglePartition" not in plan  # the rows, and the two stored carries
-    assert all("hashpartitioning(_piece" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    jobs = skewed.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(None)
+    for out in (sequence.label_periods(skewed, ORDER), sequence.label_run(skewed, ORDER), sequence.fill_down(skewed, {"w": "InputWindow"}, ORDER, KEYS)):
+        plan = plan_of(out)
+        by_piece = [line for line in plan.splitlines() if "Exchange hashpartitioning(_piece#" in line]
+        assert len(by_piece) <= 3 and "SinglePartition" not in plan  # the rows twice, and their pieces
+    assert len(skewed.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(jobs)  # no job while a plan is built
 
 
 def test_gap_equals_one_window(skewed):
@@ -140,7 +153,8 @@ def test_plans(spark, small_dir):
     for labels in (sequence.label_periods(log, ORDER), sequence.gate_run(log, ORDER)):
         plan = plan_of(labels)
         keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-        assert keyed and all("_piece" in line for line in keyed) and "SinglePartition" not in plan
+        assert keyed and "SinglePartition" not in plan  # rows by piece, and one row per piece by its keys (_w0)
+        assert all("hashpartitioning(_piece#" in line or "hashpartitioning(_w0#" in line for line in keyed), keyed
 
 
 def test_fused_summary_equals_joined_aggregates(spark, small_dir):

@@ -3,22 +3,25 @@
 Model: y = X b + u_group + e, with theta = sd(u) / sd(e). Given theta, the likelihood
 depends on the data only through the cross products of [1, X, y] and, for each group size
 n, the sum over groups of that size of the outer products of their column sums. Spark
-reduces the rows to those sums: one row per group, then one row per distinct group size.
-There are at most sqrt(2 N) distinct sizes of groups with N rows together, so that table
-fits anywhere; the search over theta then needs no further pass.
+reduces the rows to those sums: one row per group, then one row per distinct group size. That
+table is stored. The likelihood is searched in rounds: each round evaluates a grid of
+thetas over the table in one small job, for all models of the statistics together, and the next grid
+lies between the neighbours of the best one. Only sums per theta reach the driver, a few numbers
+for each, whatever the number of rows, groups or group sizes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.models.tails import chi2_tail
+from trialweave.models.tails import chi2_tail, chi2_tail_column
+from trialweave.operators.scans import stored
 
 COEFFICIENT_SCHEMA = "term string, estimate double, std_error double, t_value double"
 FIT_SCHEMA = ("model string, n bigint, groups bigint, log_likelihood double, deviance double, aic double, "
@@ -98,50 +101,22 @@ def _square(row, prefix: str, m: int) -> np.ndarray:
     return out
 
 
-def _profile(theta: float, sizes, counts, between, total):
-    """Deviance at theta with the coefficients that minimise it."""
-    weight = theta**2 / (1 + sizes * theta**2)
-    s = total - np.tensordot(weight, between, axes=1)
-    beta = np.linalg.solve(s[:-1, :-1], s[:-1, -1])
-    rss = s[-1, -1] - beta @ s[:-1, -1]
-    n = float(counts @ sizes)
-    dev = float(counts @ np.log1p(sizes * theta**2)) + n * (1 + math.log(2 * math.pi * rss / n))
-    return float(dev), beta, rss, s[:-1, :-1]
-
-
-def _search(f) -> float:
-    """Smallest value of ``f`` on theta >= 0: coarse grid with the boundary, then golden section."""
-    grid = np.concatenate([[0.0], np.logspace(-3, 3, 61)])
-    best = int(np.argmin([f(t) for t in grid]))
-    low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = high - ratio * (high - low), low + ratio * (high - low)
-    fa, fb = f(a), f(b)
-    while high - low > 1e-9 * (1 + low):
-        if fa <= fb:
-            high, b, fb = b, a, fa
-            a = high - ratio * (high - low)
-            fa = f(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + ratio * (high - low)
-            fb = f(b)
-    theta = (low + high) / 2
-    return 0.0 if f(0.0) <= f(theta) else float(theta)
+#: The first grid of thetas; points of a later one, and the width (against 1 + theta) at which the search ends.
+FIRST_GRID = (0.0, *(float(t) for t in np.logspace(-3, 3, 61)))
+POINTS, PRECISION, MOST_ROUNDS = 33, 1e-9, 12
 
 
 @dataclass(frozen=True)
 class MixedStatistics:
-    """What the fits need to know of the data: one table for any number of models."""
+    """What the fits need to know of the data: one stored table by group size for any number of models."""
 
     cols: tuple[str, ...]
     group: str
     n: int
+    groups: int
     center: np.ndarray
     scale: np.ndarray
-    sizes: np.ndarray
-    counts: np.ndarray
-    between: np.ndarray
+    by_size: DataFrame
     total: np.ndarray
 
 
@@ -158,28 +133,65 @@ def mixed_statistics(df: DataFrame, cols: Sequence[str], group: str) -> MixedSta
         raise ValueError("too few complete rows for the model")
     center = [moments[f"m{i}"] for i in range(len(cols))]
     scale = [moments[f"s{i}"] or 1.0 for i in range(len(cols))]
-    by_size = size_statistics(rows, cols, group, center, scale).collect()
+    by_size = stored(size_statistics(rows, cols, group, center, scale))
     m = len(cols) + 1
-    return MixedStatistics(
-        tuple(cols), group, moments["n"], np.array(center), np.array(scale),
-        np.array([r["n"] for r in by_size], dtype=float), np.array([r["groups"] for r in by_size], dtype=float),
-        np.array([_square(r, "b", m) for r in by_size]), sum(_square(r, "m", m) for r in by_size))
+    sums = by_size.agg(F.sum("groups").alias("groups"), *[F.sum(f"m_{i}_{j}").alias(f"m_{i}_{j}") for i, j in _names(m)]).first()
+    return MixedStatistics(tuple(cols), group, moments["n"], sums["groups"], np.array(center), np.array(scale), by_size, _square(sums, "m", m))
 
 
-def fit_mixed(stats: MixedStatistics, y: str, xs: Sequence[str]) -> MixedModel:
-    """Fit ``y ~ xs + (1 | group)`` from the statistics; no pass over the data."""
-    xs = list(xs)
-    n = stats.n
-    if n <= len(xs) + 2:
-        raise ValueError("too few complete rows for the model")
-    at = [stats.cols.index(c) for c in (*xs, y)]
-    pick = [0, *[i + 1 for i in at]]
-    between = stats.between[:, pick][:, :, pick]
-    total = stats.total[np.ix_(pick, pick)]
-    center, scale = stats.center[at], stats.scale[at]
-    theta = _search(lambda t: _profile(t, stats.sizes, stats.counts, between, total)[0])
-    dev, beta, rss, xx = _profile(theta, stats.sizes, stats.counts, between, total)
+def _profiles(stats: MixedStatistics, thetas: Sequence[float]) -> dict[float, tuple[float, np.ndarray]]:
+    """For each theta the log determinant and the weighted cross products of all columns, one row per theta."""
+    theta2 = F.col("theta") * F.col("theta")
+    weight = theta2 / (1 + F.col("n") * theta2)
+    m = len(stats.cols) + 1
+    grid = stats.by_size.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
+    rows = grid.groupBy("theta").agg(
+        F.sum(F.col("groups") * F.log1p(F.col("n") * theta2)).alias("logdet"),
+        *[F.sum(weight * F.col(f"b_{i}_{j}")).alias(f"w_{i}_{j}") for i, j in _names(m)]).collect()
+    return {r["theta"]: (r["logdet"], stats.total - _square(r, "w", m)) for r in rows}
+
 
+def _solve(n: int, logdet: float, s: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Deviance, the coefficients that minimise it, and the residual sum of squares."""
+    beta = np.linalg.solve(s[:-1, :-1], s[:-1, -1])
+    rss = float(s[-1, -1] - beta @ s[:-1, -1])
+    return logdet + n * (1 + math.log(2 * math.pi * rss / n)), beta, rss
+
+
+def fit_models(stats: MixedStatistics, models: Mapping[str, tuple[str, Sequence[str]]]) -> dict[str, MixedModel]:
+    """Fit ``{name: (y, xs)}``, each ``y ~ xs + (1 | group)``, from the statistics; no pass over the data."""
+    for _, xs in models.values():
+        if stats.n <= len(xs) + 2:
+            raise ValueError("too few complete rows for the model")
+    at = {name: [stats.cols.index(c) for c in (*xs, y)] for name, (y, xs) in models.items()}
+    pick = {name: [0, *[i + 1 for i in own]] for name, own in at.items()}
+    grids = {name: FIRST_GRID for name in models}
+    best: dict[str, tuple] = {}
+    for _ in range(MOST_ROUNDS):
+        found = _profiles(stats, sorted({t for grid in grids.values() for t in grid}))
+        for name, grid in list(grids.items()):
+            tried = []
+            for theta in grid:
+                logdet, s = found[theta]
+                s = s[np.ix_(pick[name], pick[name])]
+                tried.append((*_solve(stats.n, logdet, s), theta, s))
+            k = min(range(len(tried)), key=lambda i: tried[i][0])
+            if name not in best or tried[k][0] < best[name][0]:
+                best[name] = tried[k]
+            low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+            if high - low <= PRECISION * (1 + low):
+                del grids[name]
+            else:
+                grids[name] = tuple(float(t) for t in np.linspace(low, high, POINTS))
+        if not grids:
+            break
+    return {name: _model(stats, y, list(xs), at[name], pick[name], best[name]) for name, (y, xs) in models.items()}
+
+
+def _model(stats: MixedStatistics, y: str, xs: list[str], at: list[int], pick: list[int], found: tuple) -> MixedModel:
+    dev, beta, rss, theta, s = found
+    n, total = stats.n, stats.total[np.ix_(pick, pick)]
+    center, scale = stats.center[at], stats.scale[at]
     # back to the original units: y = my + sy (b0 + sum b_i (x_i - m_i) / s_i)
     sy, my = scale[-1], center[-1]
     back = np.zeros((len(xs) + 1, len(xs) + 1))
@@ -190,22 +202,55 @@ def fit_mixed(stats: MixedStatistics, y: str, xs: Sequence[str]) -> MixedModel:
     estimates = back @ beta
     estimates[0] += my
     variance = float(rss / n)
-    cov = back @ (variance * np.linalg.inv(xx)) @ back.T
+    cov = back @ (variance * np.linalg.inv(s[:-1, :-1])) @ back.T
     fixed = total[:-1, :-1]
     mean_fit = (fixed[0] @ beta) / n
     var_fixed = float((beta @ fixed @ beta - n * mean_fit**2) / (n - 1) * sy**2)
     return MixedModel(
-        y=y, xs=tuple(xs), group=stats.group, n=n, groups=int(stats.counts.sum()), theta=theta,
-        deviance=dev + 2 * n * math.log(sy), var_group=float(theta**2 * variance * sy**2),
+        y=y, xs=tuple(xs), group=stats.group, n=n, groups=stats.groups, theta=theta,
+        deviance=float(dev + 2 * n * math.log(sy)), var_group=float(theta**2 * variance * sy**2),
         var_residual=float(variance * sy**2), terms=("(Intercept)", *xs), estimates=tuple(map(float, estimates)),
         std_errors=tuple(float(v) for v in np.sqrt(np.diag(cov))), var_fixed=var_fixed)
 
 
+def fit_mixed(stats: MixedStatistics, y: str, xs: Sequence[str]) -> MixedModel:
+    return fit_models(stats, {"model": (y, xs)})["model"]
+
+
 def mixed_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> MixedModel:
     """Fit one model. To compare models, reduce the data once with ``mixed_statistics``."""
     return fit_mixed(mixed_statistics(df, [*xs, y], group), y, xs)
 
 
+FITS_SCHEMA = ("model string, y string, xs array<string>, by string, n bigint, n_params int, deviance double, "
+               "var_fixed double, var_group double, var_residual double")
+
+
+def fits_table(spark: SparkSession, fits: Mapping[str, MixedModel]) -> DataFrame:
+    """One row per fitted model, for tests and R² of any number of models as columns."""
+    return spark.createDataFrame([(name, m.y, list(m.xs), m.group, m.n, m.n_params, m.deviance, m.var_fixed, m.var_group, m.var_residual)
+                                  for name, m in fits.items()], FITS_SCHEMA)
+
+
+def lr_tests(fits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Likelihood-ratio test of each pair (``small``, ``large``) of nested models; raises at run time if a pair is none."""
+    sides = [fits.select(*[F.col(c).alias(f"{side}_{c}") for c in fits.columns]) for side in ("small", "large")]
+    both = pairs.join(sides[0], F.col("small") == F.col("small_model")).join(sides[1], F.col("large") == F.col("large_model"))
+    alike = F.col("small_n") == F.col("large_n")
+    nested = ((F.col("small_y") == F.col("large_y")) & (F.col("small_by") == F.col("large_by"))
+              & (F.size(F.array_except("small_xs", "large_xs")) == 0) & (F.col("small_n_params") < F.col("large_n_params")))
+    statistic = F.when(alike & nested, F.greatest(F.col("small_deviance") - F.col("large_deviance"), F.lit(0.0))).otherwise(
+        F.raise_error(F.when(alike, "models are not nested").otherwise("models use different rows")))
+    tested = both.select("small", "large", statistic.alias("statistic"), (F.col("large_n_params") - F.col("small_n_params")).cast("int").alias("df"))
+    return tested.withColumn("p_value", chi2_tail_column(F.col("statistic"), F.col("df")))
+
+
+def mixed_r2s(fits: DataFrame) -> DataFrame:
+    """Marginal and conditional R² of each model."""
+    total = F.col("var_fixed") + F.col("var_group") + F.col("var_residual")
+    return fits.select("model", (F.col("var_fixed") / total).alias("r2_marginal"), ((F.col("var_fixed") + F.col("var_group")) / total).alias("r2_conditional"))
+
+
 @dataclass(frozen=True)
 class LikelihoodRatio:
     statistic: float

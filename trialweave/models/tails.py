@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Steps of the quadrature, and the logarithm below its largest value at which an integrand is cut.
 STEPS, NEGLIGIBLE = 512, 40.0
+#: Terms of the power series below a half chi-square of 1.
+SERIES = 30
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -28,6 +30,40 @@ def chi2_tail(x: float, df: int) -> float:
     return min(tail, 1.0)
 
 
+def chi2_tail_column(x: Column, df: Column) -> Column:
+    """The same tail as a column, for any whole number of degrees of freedom.
+
+    One degree: erfc as the mean of exp(-x / (2 sin(a) ** 2)) over a quarter turn, where equal steps converge
+    exponentially, and by its power series near zero. The terms of the finite sum then follow from one another.
+    """
+    half, odd = x / 2, df % 2 == 1
+    corners = F.lit(0.5) * F.exp(-half)  # the integrand is 0 at angle 0
+
+    def corner(total: Column, k: Column) -> Column:
+        sine = F.sin(k * F.lit(math.pi / 2 / STEPS))
+        return total + F.exp(-half / (sine * sine))
+
+    def power(state: Column, k: Column) -> Column:
+        following = state["power"] * -half / k
+        return F.struct(following.alias("power"), (state["total"] + following / (2 * k + 1)).alias("total"))
+
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS - 1)), corners, corner) / STEPS
+    unit = F.struct(F.lit(1.0).alias("power"), F.lit(1.0).alias("total"))
+    near = 1 - 2 * F.sqrt(half / math.pi) * F.aggregate(F.sequence(F.lit(1), F.lit(SERIES)), unit, power, lambda s: s["total"])
+    erfc = F.when(half < 1, near).otherwise(far)
+
+    def term(state: Column, k: Column) -> Column:
+        following = state["term"] * half / (k + F.when(odd, 0.5).otherwise(1.0))
+        return F.struct(following.alias("term"), (state["total"] + state["term"]).alias("total"))
+
+    first = F.when(odd, 2 * F.sqrt(half / math.pi) * F.exp(-half)).otherwise(half * F.exp(-half))
+    count = F.floor((df - 1) / 2).cast("int")
+    start = F.struct(first.alias("term"), F.when(odd, erfc).otherwise(F.exp(-half)).alias("total"))
+    steps = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, start, term, lambda s: s["total"])
+    return F.when(df >= 1, F.when(x <= 0, 1.0).otherwise(F.least(total, F.lit(1.0))))
+
+
 def _cosine_power(sine2: Column, df: Column) -> Column:
     """Integral of cos(a) ** (df - 1) from the angle with this squared sine to a right angle, by Simpson's rule."""
     power = (df - 1).cast("double")

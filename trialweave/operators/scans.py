@@ -6,9 +6,10 @@ order column: a minute of a time, a range of a number, the first letters of a te
 never looks at the data, so the plan is the same for any size.
 
 ``PieceScan`` runs the window inside a piece and adds what the earlier pieces of the group
-carry in. The carry table has one row per piece; it is stored, so a chain of scans reads its
-input once more per scan and never computes an earlier scan again. The rows are shuffled by
-piece, once, and the carry is joined to them on the piece they are placed by.
+carry in, a table of one row per piece. The rows are shuffled by piece, once, and the carry is
+joined to them on the piece they are placed by. Each method reads its input twice and runs
+nothing while the plan is built; rules that depend on each other belong into one scan
+(``labels.py``) or get a stored table between them.
 
 ``pieces=False`` states that groups are small by construction (the sessions of one
 participant): one plain window per group, ``GroupScan``, with the same methods.
@@ -139,7 +140,7 @@ class PieceScan:
     def _carry(self, df: DataFrame, aggs: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
         pieces = df.groupBy(PIECE).agg(*[a.alias(out) for out, a in aggs.items()])
         side = pieces.select(PIECE, *[c.alias(f"_c_{out}") for out, c in carried.items()])
-        return df.join(stored(side), PIECE)
+        return df.join(side, PIECE)
 
     @staticmethod
     def _finish(df: DataFrame, cols) -> DataFrame:
@@ -182,7 +183,7 @@ class PieceScan:
         """Group totals, one row per group, come down to the rows by way of the pieces."""
         totals = df.groupBy(F.col(f"{PIECE}.keys").alias("_keys")).agg(*[a.alias(out) for out, a in aggs.items()])
         pieces = df.select(PIECE).distinct().withColumn("_keys", F.col(f"{PIECE}.keys"))
-        return df.join(stored(pieces.join(totals, "_keys").drop("_keys")), PIECE)
+        return df.join(pieces.join(totals, "_keys").drop("_keys"), PIECE)
 
     def first(self, df: DataFrame, **cols: Column) -> DataFrame:
         return self.whole(df, **{out: F.min_by(c, self._at) for out, c in cols.items()})

@@ -7,18 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.missing import as_col, asc_last, if_else_na, label_cascade
+from trialweave.functions.missing import as_col, asc_last
 from trialweave.functions.scalars import seconds_between
+from trialweave.operators.labels import GAME_START, OPEN_PERIOD, REST_PERIOD, closed_flag, closed_id, label_scan, period, trial_order  # noqa: F401
 from trialweave.operators.scans import join_null_safe, ordered_scan
 
 SESSION_KEYS = ("GameTitle", "Participant", "Condition")
 
-# Event names, window states, period names of the log.
-GAME_START, GAME_STOP = "GameRunning", "GameStopped"
-WINDOW_CHANGE, OPEN, CLOSED = "InputWindowChange", "Open", "Closed"
-PRE_GAME, OPEN_PERIOD, REST_PERIOD, POST_GAME = "PreGame", "OpenPeriod", "RestPeriod", "PostGame"
-
-
 MINUTE, DAY = 60, 86_400
 
 
@@ -81,21 +76,12 @@ def gate_run(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_
     return between_markers(df, F.col("Event") == GAME_START, order, keys, 1, pieces)
 
 
-def _closed_flag() -> Column:
-    return (F.col("Event") == WINDOW_CHANGE) & (F.col("InputWindow") == CLOSED)
-
-
 def _with_closed_id(rows, scan):
     """Number closed windows 1, 2, ...; other rows 0; -1 on open, start and stop rows."""
-    closed = _closed_flag()
+    closed = closed_flag()
     rows = scan.running_sum(rows, _n_closed=closed.cast("int"), _unknown=closed.isNull().cast("int"))
     number = F.when(F.col("_unknown") == 0, F.col("_n_closed"))
-    closed_id = label_cascade(
-        if_else_na(closed, number, F.lit(0)),
-        [(F.col("Event") == GAME_STOP, -1),
-         (F.col("Event") == GAME_START, -1),
-         ((F.col("Event") == WINDOW_CHANGE) & (F.col("InputWindow") == OPEN), -1)])
-    return rows.withColumn("InputWindowClosedID", closed_id.cast("bigint")).drop("_n_closed", "_unknown")
+    return rows.withColumn("InputWindowClosedID", closed_id(number)).drop("_n_closed", "_unknown")
 
 
 def occurrence_id(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS, pieces: bool = True) -> DataFrame:
@@ -128,21 +114,15 @@ def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SES
     to the period of the event that ends it: a change row carries the time since its
     predecessor into the new period.
     """
-    event, window = F.col("Event"), F.col("InputWindow")
-    closed_id = F.col("InputWindowClosedID")
+    if pieces:
+        return label_scan(df, order, keys)
+    number = F.col("InputWindowClosedID")
 
     def build(rows, scan):
         rows = _with_closed_id(rows, scan)
         rows = scan.whole(rows, _last_id=F.max("InputWindowClosedID"))
-        trial_order = label_cascade(F.col("InputWindowOrder"), [
-            (event == GAME_STOP, -1.0), (event == GAME_START, -1.0), (window == CLOSED, -1.0)])
-        period = label_cascade(F.lit(None).cast("string"), [
-            (_closed_flag(), REST_PERIOD),
-            ((event == WINDOW_CHANGE) & (closed_id == F.col("_last_id")), POST_GAME),
-            ((event == WINDOW_CHANGE) & (window == OPEN), OPEN_PERIOD),
-            (event == GAME_START, PRE_GAME)])
-        rows = rows.withColumns({"InputWindowOrder": trial_order, "Period": period})
-        rows = scan.last_known(rows, InputWindowClosedFill=F.when(closed_id != 0, closed_id),
+        rows = rows.withColumns({"InputWindowOrder": trial_order(), "Period": period(number, F.col("_last_id"))})
+        rows = scan.last_known(rows, InputWindowClosedFill=F.when(number != 0, number),
                                InputWindowOrderFilled=F.col("InputWindowOrder"),
                                Period=F.col("Period"))
         return rows.drop("_last_id")
@@ -150,6 +130,11 @@ def label_periods(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SES
     return ordered_scan(df, keys, order, build, pieces)
 
 
+def label_run(df: DataFrame, order: Sequence[str], keys: Sequence[str] = SESSION_KEYS, run: int = 1) -> DataFrame:
+    """``label_periods`` of the ``run``-th game run of each session: gate and labels in one scan."""
+    return label_scan(df, order, keys, F.col("Event") == GAME_START, run)
+
+
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start: int = 1,
                 keys: Sequence[str] = (), bucket: Sequence[Column] = (), pieces: bool = True) -> DataFrame:
     """Consecutive numbers along a total order, without sorting everything in one task.

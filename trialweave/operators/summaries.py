@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.missing import (na_count_if, na_max, na_mean, na_min, na_sum,
                                           only_value)
+from trialweave.operators.quantiles import box_stats, exact_quantiles  # noqa: F401
 from trialweave.operators.ratings import PLAYER_KEYS
 from trialweave.operators.scans import join_null_safe, ordered_scan, stored
 from trialweave.operators.sequence import SESSION_KEYS
@@ -53,44 +54,6 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n")
     return group_counts(distinct_values(df, keys, value), [value], out)
 
 
-def _quantile_rows(df, keys, value, probs, pieces) -> DataFrame:
-    """One row per (group, distinct value) with the group's quantiles on every row.
-
-    Equal values are merged before anything is ordered; the counts are then summed along
-    the values by an ordered scan, so no group is ever held as a whole.
-    """
-    n, upto = F.col("_n"), F.col("_upto")
-    histogram = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    if pieces:  # stored, because each scan of the pieces reads it
-        histogram = stored(histogram)
-
-    def at_rank(rank):
-        return F.max(F.when((upto - n <= rank) & (rank < upto), F.col("_v")))
-
-    def build(rows, scan):
-        rows = scan.running_sum(rows, _upto=n)
-        rows = scan.whole(rows, _known=F.sum(F.when(F.col("_v").isNotNull(), n)),
-                          _unknown=F.sum(F.when(F.col("_v").isNull(), n)))
-        rank = {p: (F.col("_known") - 1) * F.lit(float(p)) for p in probs}
-        rows = scan.whole(rows, **{f"_lo{i}": at_rank(F.floor(rank[p])) for i, p in enumerate(probs)},
-                          **{f"_hi{i}": at_rank(F.ceil(rank[p])) for i, p in enumerate(probs)})
-        return rows.withColumns({
-            f"_q{i}": F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank[p] - F.floor(rank[p]))
-            for i, p in enumerate(probs)})
-
-    return ordered_scan(histogram, keys, ["_v"], build, pieces)
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    na: str = "propagate", pieces: bool = True) -> DataFrame:
-    """Exact interpolated quantiles ``{name: probability}`` per group, with min and max."""
-    rows = _quantile_rows(df, keys, value, list(probs.values()), pieces)
-    fine = F.lit(True) if na == "skip" else F.max("_unknown").isNull()
-    aggs = {name: F.max(f"_q{i}") for i, name in enumerate(probs)}
-    aggs |= {"min_value": F.min("_v"), "max_value": F.max("_v")}
-    return rows.groupBy(*keys).agg(*[F.when(fine, a).alias(n) for n, a in aggs.items()])
-
-
 def rate_spread(sessions: DataFrame, keys: Sequence[str] = ("Participant", "GameTitle"),
                 value: str = "rate_trial", limit: float = 25.0,
                 pieces: bool = True) -> DataFrame:
@@ -108,23 +71,6 @@ def low_performers(sessions: DataFrame, keys: Sequence[str] = ("Participant", "G
     return sessions.groupBy(*keys).agg(na_max(value).alias("max_value")).where(F.col("max_value") < limit)
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str],
-              pieces: bool = True) -> DataFrame:
-    """Quartiles, whiskers at 1.5 times the quartile range, and outlier count per group.
-
-    Exact; missing values are left out.
-    """
-    rows = _quantile_rows(df.where(F.col(value).isNotNull()), by, value, [0.25, 0.5, 0.75], pieces)
-    q1, q3 = F.col("_q0"), F.col("_q2")
-    inside = F.col("_v").between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    return rows.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.min("_v").alias("min_value"), F.max("_q0").alias("q1"),
-        F.max("_q1").alias("median_value"), F.max("_q2").alias("q3"), F.max("_v").alias("max_value"),
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"))
-
-
 def balance_table(df: DataFrame, keys: Sequence[str], levels: Mapping[str, tuple[str, str]],
                   na: str = "propagate") -> DataFrame:
     """``{out: (column, level)}``: how often each level occurs, all in one pass."""

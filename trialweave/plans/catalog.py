@@ -19,7 +19,7 @@ from trialweave.models import linear, mixed, ranks, smooth
 from trialweave.operators import cohorts, columns, ratings, report, sequence, sessions, summaries
 from trialweave.operators.scans import stored
 from trialweave.plans import study
-from trialweave.plans.oracle import K, chi3_tail_sql, rnd, t_tail_sql, with_gate, with_parts
+from trialweave.plans.oracle import K, chi1_tail_sql, chi3_tail_sql, mixed_fit_sql, rnd, t_tail_sql, with_gate, with_parts
 from trialweave.plans.study import ORDER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,8 +115,8 @@ KEPT = "coalesce(Condition NOT IN ('50A_WRONG', '50A-2'), true)"
 InputWindowOrderFilled, Period FROM labelled""")
 def gated_labels(spark, d):
     """Gap, gate and label in one chain; the gaps are those of the whole log."""
-    log = sequence.gate_run(sequence.gap_seconds(study.study_log(spark, d, stops=True), ORDER), ORDER)
-    return sequence.label_periods(log, ORDER).select(
+    log = sequence.gap_seconds(study.study_log(spark, d, stops=True), ORDER)
+    return sequence.label_run(log, ORDER).select(
         *KEYS, "event_id", "time_delta", "InputWindowClosedID", "InputWindowClosedFill", "InputWindowOrderFilled", "Period")
 
 
@@ -663,38 +663,66 @@ def _fits(spark, d, names):
     """Fit models that share a response from one reduction of the same complete rows."""
     rows = study.session_table(spark, d).withColumn("is_kiwi", sc.dummy("GameTitle", "Kiwi"))
     rows = stored(rows.select("Participant", "PercNormalized", "FrustNormalized", *PREDICTORS))
-    stats = {y: mixed.mixed_statistics(rows, [*[p for p in PREDICTORS if p != y], y], "Participant")
-             for y in sorted({MODELS[n][0] for n in names})}
-    return {n: mixed.fit_mixed(stats[MODELS[n][0]], *MODELS[n]) for n in names}
+    fits = {}
+    for y in sorted({MODELS[n][0] for n in names}):
+        stats = mixed.mixed_statistics(rows, [*[p for p in PREDICTORS if p != y], y], "Participant")
+        fits |= mixed.fit_models(stats, {n: MODELS[n] for n in names if MODELS[n][0] == y})
+    return {n: fits[n] for n in names}
+
+
+def _fits_sql(names):
+    """``<name>_fit`` of each model, from the same rows as the queries."""
+    parts = []
+    for n in names:
+        y, xs = MODELS[n]
+        complete = " AND ".join(f"{c} IS NOT NULL" for c in [*[p for p in PREDICTORS if p != y], y])
+        source = f"""SELECT Participant AS g, {", ".join(f"{c}::DOUBLE AS v{i + 1}" for i, c in enumerate([*xs, y]))}
+FROM (SELECT *, CASE WHEN GameTitle = 'Kiwi' THEN 1 ELSE 0 END AS is_kiwi FROM st) WHERE {complete}"""
+        parts.append(mixed_fit_sql(n, source, len(xs)))
+    return with_parts("st") + ", " + ",\n".join(parts) + "\n"
+
+
+MODEL_NAMES = ["perc_null", "perc_feedback", "frust_feedbackgame"]
 
 
-@query(digits=6)
+@query(_fits_sql(MODEL_NAMES) + " UNION ALL ".join(
+    f"""SELECT '{n}' AS model, rows::BIGINT AS n, groups::BIGINT AS groups, {rnd("-deviance / 2", "log_likelihood")}, {rnd("deviance")},
+{rnd(f"deviance + {2 * len(MODELS[n][1]) + 6}", "aic")}, {rnd(f"deviance + {len(MODELS[n][1]) + 3} * ln(rows)", "bic")},
+{rnd("theta * theta * rss / rows", "var_group")}, {rnd("rss / rows", "var_residual")} FROM {n}_fit""" for n in MODEL_NAMES), digits=5)
 def mixed_model(spark, d):
-    fits = _fits(spark, d, ["perc_null", "perc_feedback", "frust_feedbackgame"])
+    fits = _fits(spark, d, MODEL_NAMES)
     return spark.createDataFrame([m.fit_row(name) for name, m in fits.items()], mixed.FIT_SCHEMA)
 
 
-@query(digits=6)
+COEFFICIENT_MODELS = ["perc_feedbackfab", "frust_feedbackgame"]
+
+
+@query(_fits_sql(COEFFICIENT_MODELS) + " UNION ALL ".join(
+    f"""SELECT '{n}' AS model, '{term}' AS term, {rnd(f"beta{i}", "estimate")}, {rnd(f"sqrt(rss / rows * inverse{i})", "std_error")},
+{rnd(f"beta{i} / sqrt(rss / rows * inverse{i})", "t_value", 4)} FROM {n}_fit"""
+    for n in COEFFICIENT_MODELS for i, term in enumerate(["(Intercept)", *MODELS[n][1]])), digits=5)
 def mixed_coefficients(spark, d):
-    fits = _fits(spark, d, ["perc_feedbackfab", "frust_feedbackgame"])
-    return linear.stack_curves({name: m.coefficients(spark) for name, m in fits.items()}, label="model")
+    fits = _fits(spark, d, COEFFICIENT_MODELS)
+    out = linear.stack_curves({name: m.coefficients(spark) for name, m in fits.items()}, label="model")
+    return out.withColumn("t_value", F.round("t_value", 4))
 
 
-@query(digits=6)
+@query(_fits_sql(list(MODELS)) + " UNION ALL ".join(
+    f"""SELECT '{small}' AS small, '{large}' AS large, {rnd("greatest(s.deviance - l.deviance, 0)", "statistic")}, 1::INTEGER AS df,
+{rnd(chi1_tail_sql("greatest(s.deviance - l.deviance, 0)"), "p_value")} FROM {small}_fit s, {large}_fit l""" for small, large in TESTS), digits=5)
 def lr_test(spark, d):
-    fits = _fits(spark, d, list(MODELS))
-    out = []
-    for small, large in TESTS:
-        test = mixed.lr_test(fits[small], fits[large])
-        out.append((small, large, test.statistic, test.df, test.p_value))
-    return spark.createDataFrame(out, "small string, large string, statistic double, df int, p_value double")
+    fits = mixed.fits_table(spark, _fits(spark, d, list(MODELS)))
+    return mixed.lr_tests(fits, spark.createDataFrame(TESTS, "small string, large string"))
+
+
+R2_MODELS = ["perc_fab", "perc_feedbackfab", "perc_trial", "frust_feedbackgame", "frust_feedback"]
 
 
-@query(digits=6)
+@query(_fits_sql(R2_MODELS) + " UNION ALL ".join(
+    f"""SELECT '{n}' AS model, {rnd("fixed / (fixed + theta * theta * rss / rows + rss / rows)", "r2_marginal")},
+{rnd("(fixed + theta * theta * rss / rows) / (fixed + theta * theta * rss / rows + rss / rows)", "r2_conditional")} FROM {n}_fit""" for n in R2_MODELS), digits=5)
 def mixed_r2(spark, d):
-    fits = _fits(spark, d, ["perc_fab", "perc_feedbackfab", "perc_trial", "frust_feedbackgame", "frust_feedback"])
-    return spark.createDataFrame([(name, *mixed.mixed_r2(m)) for name, m in fits.items()],
-                                 "model string, r2_marginal double, r2_conditional double")
+    return mixed.mixed_r2s(mixed.fits_table(spark, _fits(spark, d, R2_MODELS)))
 
 
 def _smooth_pass(src, value, out, span):

@@ -179,3 +179,65 @@ def chi3_tail_sql(x: str) -> str:
     share = "CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
     return (f"1 - sqrt(2 / pi()) * sqrt({x}) / 6000 * "
             f"list_sum(list_transform(generate_series(0, 2000), lambda k: {share} * {value}))")
+
+
+def chi1_tail_sql(x: str) -> str:
+    """Upper tail of the chi-square distribution with one degree of freedom: the normal density by Simpson's rule."""
+    value = f"exp(-power(sqrt({x}) * k / 2000, 2) / 2)"
+    share = "CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"1 - sqrt(2 / pi()) * sqrt({x}) / 6000 * "
+            f"list_sum(list_transform(generate_series(0, 2000), lambda k: {share} * {value}))")
+
+
+def mixed_fit_sql(name: str, source: str, predictors: int, rounds: int = 8) -> str:
+    """CTEs ending in ``<name>_fit``: the maximum-likelihood fit of a random-intercept model by nested grids of theta.
+
+    ``source`` gives the group ``g``, the predictors ``v1, v2, ..`` and last the response. The columns are not centred; each grid
+    spans the neighbours of the best theta of the one before.
+    """
+    m = predictors + 2
+    y = m - 1
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    v = ["1.0", *[f"v{i}" for i in range(1, m)]]
+    total = [f"sum({v[i]} * {v[j]}) AS m{i}{j}" for i, j in pairs]
+
+    def s(i: int, j: int) -> str:
+        return f"s{min(i, j)}{max(i, j)}"
+
+    def minor(rows: list[int], cols: list[int]) -> str:
+        if not rows:
+            return "1.0"
+        terms = [f"{'-' if k % 2 else '+'} {s(rows[0], c)} * ({minor(rows[1:], cols[:k] + cols[k + 1:])})" for k, c in enumerate(cols)]
+        return " ".join(terms)
+
+    own = list(range(y))
+    det = f"({minor(own, own)})"
+    # Cramer's rule: column i of the cross products gives way to that of the response
+    betas = [f"({minor(own, own[:i] + [y] + own[i + 1:])}) / {det} AS beta{i}" for i in own]
+    inverse = [f"({minor(own[:i] + own[i + 1:], own[:i] + own[i + 1:])}) / {det} AS inverse{i}" for i in own]
+    rss = f"s{y}{y} - " + " - ".join(f"beta{i} * {s(i, y)}" for i in own)
+    parts = [
+        f"{name}_z AS ({source})",
+        f"{name}_m AS (SELECT count(*) AS rows, count(DISTINCT g) AS groups, {', '.join(total)} FROM {name}_z)",
+        f"{name}_g AS (SELECT g, count(*) AS n, {', '.join(f'sum({c}) AS q{i}' for i, c in enumerate(v))} FROM {name}_z GROUP BY g)",
+        f"{name}_n AS (SELECT n, count(*) AS c, {', '.join(f'sum(q{i} * q{j}) AS b{i}{j}' for i, j in pairs)} FROM {name}_g GROUP BY n)",
+        f"{name}_t0 AS (SELECT 0.0::DOUBLE AS theta UNION ALL SELECT power(10, -3 + k / 10.0) FROM generate_series(0, 60) AS grid(k))",
+    ]
+    for r in range(rounds + 1):
+        weighted = ", ".join(f"any_value(m{i}{j}) - sum(theta * theta / (1 + n * theta * theta) * b{i}{j}) AS s{i}{j}" for i, j in pairs)
+        parts += [
+            f"{name}_s{r} AS (SELECT theta, any_value(rows) AS rows, any_value(groups) AS groups, any_value(m00) AS m00, "
+            f"{', '.join(f'any_value(m{i}{j}) AS f{i}{j}' for i, j in pairs)}, sum(c * ln(1 + n * theta * theta)) AS logdet, {weighted} "
+            f"FROM {name}_t{r}, {name}_n, {name}_m GROUP BY theta)",
+            f"{name}_b{r} AS (SELECT *, {', '.join(betas + inverse)} FROM {name}_s{r})",
+            f"{name}_d{r} AS (SELECT *, logdet + rows * (1 + ln(2 * pi() * rss / rows)) AS deviance, lag(theta) OVER (ORDER BY theta) AS lo, "
+            f"lead(theta) OVER (ORDER BY theta) AS hi FROM (SELECT *, {rss} AS rss FROM {name}_b{r}))",
+            f"{name}_best{r} AS (SELECT * FROM {name}_d{r} ORDER BY deviance, theta LIMIT 1)",
+        ]
+        if r < rounds:
+            parts.append(f"{name}_t{r + 1} AS (SELECT DISTINCT coalesce(lo, theta) + (coalesce(hi, theta) - coalesce(lo, theta)) * k / 20 AS theta "
+                         f"FROM {name}_best{r}, generate_series(0, 20) AS grid(k))")
+    mean = " + ".join(f"beta{i} * f0{i}" for i in own)
+    square = " + ".join(f"beta{i} * beta{j} * f{min(i, j)}{max(i, j)}" for i in own for j in own)
+    parts.append(f"{name}_fit AS (SELECT *, ({square} - power({mean}, 2) / rows) / (rows - 1) AS fixed FROM {name}_best{rounds})")
+    return ",\n".join(parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import to_number
 from trialweave.operators.ratings import attach_ratings, drop_discarded, prepare_ratings
-from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, gate_run, label_periods
+from trialweave.operators.sequence import SESSION_KEYS, gap_seconds, label_periods, label_run
 from trialweave.operators.sessions import experience_flags, session_rates, session_summary
 
 ORDER = ("Timestamp", "event_id")
@@ -119,8 +119,8 @@ def labelled_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: gaps, the first game run of each session, periods, metrics, discarded labels, rates."""
-    log = gate_run(gap_seconds(study_log(spark, sf_dir, stops=True), ORDER), ORDER)
-    return session_rates(drop_discarded(session_summary(label_periods(log, ORDER))))
+    log = label_run(gap_seconds(study_log(spark, sf_dir, stops=True), ORDER), ORDER)
+    return session_rates(drop_discarded(session_summary(log)))
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
