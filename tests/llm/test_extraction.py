@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -37,6 +38,22 @@ def test_decontamination_edges(spark):
     assert set(found(spark, ["say red green blue white now"], items=("red green blue white", ITEM))) == {(0, 0)}
 
 
+def test_short_items_are_searched_by_their_tokens(spark):
+    items = ("What is 17 times 23 ?", "Solve 2 x + 3 = 9", "Too short 5")
+    got = found(spark, ["He asked: what is 17 times 23? Nobody knew", "what is 18 times 23 ?", "solve 2 x + 3 = 9 now", "too short 5"], items=items)
+    assert set(got) == {(0, 0), (2, 1)} and got[0, 0].coverage == 1
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate((*items, None, ""))], "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.unsearched(bench).collect()) == [2, 3, 4]
+
+
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark):
+    words = ITEM.split()
+    half = len(words) * 2 // 5
+    rows = [(1, " ".join(words[:half])), (1, " ".join(words[half : 2 * half])), (None, " ".join(words[:half])), (None, " ".join(words[half : 2 * half])), (2, ITEM), (2, "else")]
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(0, ITEM)], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [2]
+
+
 def test_blocks_give_the_same(spark):
     items = [" ".join(f"{w}{x}" for w in "alpha beta gamma delta epsilon zeta eta theta iota".split()) for x in "abcdef"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -151,3 +168,75 @@ def test_personal_data_in_known_contexts(spark):
     assert by_id[50].spans == "context_card:25:37" and by_id[51].spans == ""
     assert by_id[68].n_email == 1 and by_id[66].spans == by_id[67].spans == ""
     assert pii.find_personal_data(docs(spark, [])).count() == 0
+
+
+def page_text(page):
+    return wrapper.main_text(wrapper.parse(page), wrapper.Guide(wrapper.wrap(wrapper.parse(page))))
+
+
+def test_class_words_do_not_take_the_article():
+    body = "<p>" + "Plain words of the article go on here. " * 5 + "</p>"
+    assert page_text(f"<body><div class='has-sidebar'><article>{body}</article></div></body>").startswith("Plain words")
+    headed = page_text(f"<body><article><header class='entry-header'><h1>The title</h1></header>{body}<div class='comments'><p>Nice</p></div></article></body>")
+    assert headed.startswith("The title\n\nPlain words") and "Nice" not in headed
+    assert page_text(f"<body><div class='sidebar wrap'>{body * 4}</div><div><p>Short</p></div></body>").startswith("Plain words")
+    assert "Side" not in page_text(f"<body><div class='sidebar'><p>Side</p></div><main>{body}</main></body>")
+
+
+def test_deep_nesting_keeps_boilerplate_out_and_order_in():
+    deep = "<div>" * 5000 + "<p>First words of the text</p><div class='sidebar'><p>Aside</p></div><p>Second words of it</p>" + "</div>" * 4990 + "<p>Last words at the end</p>" + "</div>" * 10
+    assert page_text(f"<body>{deep}</body>") == "First words of the text\n\nSecond words of it"
+
+
+def test_time_on_broken_markup_is_linear():
+    started = time.perf_counter()
+    for broken in ("<a " * 350_000, "<p>x" * 250_000, "<div><center>" * 80_000, "<a 'x\"" * 150_000, "</script " * 110_000, "<script>" + "</script " * 110_000, "<" * 1_000_000, "&amp;&lt" * 120_000):
+        page_text(f"<body><p>Text before it</p>{broken}")
+    assert time.perf_counter() - started < 60
+
+
+def test_a_constant_among_many_texts_of_a_page_is_template():
+    def host(n, fills):
+        for k in range(n):
+            yield f"<body><main>{''.join(f'<p>Own text {k} number {f} of this page</p>' for f in range(fills))}<p>The same line on every page</p></main></body>"
+
+    for fills in (10, 20, 60):
+        held = None
+        pages = list(host(50, fills))
+        for k, page in enumerate(pages):
+            held = wrapper.merge(held, wrapper.wrap(wrapper.parse(page), 1 << k % 64))
+        guide = wrapper.Guide(held)
+        for page in pages:
+            text = wrapper.main_text(wrapper.parse(page), guide)
+            assert "The same line" not in text and text.count("Own text") == fills
+
+
+def test_alignment_of_many_children_is_fast():
+    pages = [wrapper.wrap(wrapper.parse("<body><main>" + "".join(f"<h2>H{k}{i}</h2><p>T{k}{i}</p>" for i in range(n)) + "</main></body>")) for k, n in enumerate((800, 780, 820))]
+    started = time.perf_counter()
+    held = None
+    for page in pages:
+        held = wrapper.merge(held, page)
+    assert time.perf_counter() - started < 5
+
+
+def test_results_depend_on_the_wrapper_of_the_host(spark):
+    """Template and content are siblings of one element; only other pages of the host tell them apart."""
+    pages = [(k, f"https://h.example/{k}", f"<body><div><p>Our paper is printed every day</p><p>Own words {k} that no other page has, {k * 7} of them</p><p>Call us for more</p></div></body>") for k in range(12)]
+    got = texts(spark, pages)
+    assert all(got[k].text == f"Own words {k} that no other page has, {k * 7} of them" for k in range(12))
+    assert all(page_text(html).startswith("Our paper") for _, _, html in pages)
+
+
+def test_scans_of_long_texts_full_of_matches_are_linear(spark):
+    started = time.perf_counter()
+    mails = "a1@b.co;" * 120_000
+    assert len(pii.base_spans(mails)) == 120_000
+    assert sum(len(pii.contexts(mails, s, e)) for s, _, e in pii.base_spans(mails)) >= 0
+    assert len(list(pii.candidates("x1y2z3 " * 140_000, []))) == 140_000
+    assert time.perf_counter() - started < 30
+    long = "token=abcdef12 " * 8_000 + "deadbeefdeadbeefdeadbeef01 " * 4_000 + "q9XkR2vLw8ZtB4nM7cYd " * 1_000
+    got = secret_scan.find_secrets(docs(spark, [(1, long)])).collect()[0]
+    assert len(got.base) == 12_000 and [s.start for s in got.base[:3]] == [0, 15, 30]
+    assert all(long[s.start : s.end] in ("token=abcdef12", "deadbeefdeadbeefdeadbeef01") for s in got.base[::1000])
+    assert time.perf_counter() - started < 120

@@ -6,8 +6,8 @@ the graph of patterns and instances in rounds: a pattern by the share of its dis
 by the noisy-or of its patterns. Candidates that stand in a pattern of high confidence are found as `context_<kind>`.
 
 Defined results: null and empty texts have no spans. Positions are code points, end exclusive. Rows that repeat a doc_id
-are documents of their own. Repeated instances count once in a pattern. Texts of any length are read in linear time. Other
-columns are not read.
+are documents of their own. Repeated instances count once in a pattern. Whole texts are read, in time linear in their length;
+a word of a pattern is cut to the WORD_CHARS characters next to the span. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT, MARK = re.compile(r"[0-9]"), re.compile(r"[0-9@]")
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&="
 MIN_CHARS = 5
+#: A word of a pattern is at most so many characters next to the span, so that contexts take time by the number of spans.
+WORD_CHARS = 40
+AFTER = re.compile(rf"\s*(\S{{1,{WORD_CHARS}}})")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -74,29 +77,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _word_before(text: str, at: int) -> tuple[str, int]:
+    """The characters before `at` up to white space, at most WORD_CHARS, and where they start (-1: there are more)."""
     end = at
     while end and text[end - 1].isspace():
         end -= 1
-    start = end
-    while start and not text[start - 1].isspace():
+    start, least = end, max(end - WORD_CHARS, 0)
+    while start > least and not text[start - 1].isspace():
         start -= 1
-    return _plain(text[start:end]), start
+    cut = start > 0 and not text[start - 1].isspace()
+    return _plain(text[start:end]), -1 if cut else start
 
 
 def _word_after(text: str, at: int) -> str:
-    found = re.compile(r"\s*(\S+)").match(text, at)
+    found = AFTER.match(text, at)
     return _plain(found[1]) if found else ""
 
 
 def _plain(word: str) -> str:
-    """Lower case without edge punctuation; a digest where the word is long."""
-    word = word.lower().strip(EDGE)
-    return word if len(word) <= 40 else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    """Lower case without edge punctuation."""
+    return word.lower().strip(EDGE)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     one, at = _word_before(text, start)
-    two, _ = _word_before(text, at)
+    two = _word_before(text, at)[0] if at >= 0 else ""
     after = _word_after(text, end)
     return [f"{two} {one} _"] * bool(one and two) + [f"{one} _ {after}"] * bool(one and after)
 

@@ -9,12 +9,14 @@ base64; ordinary ones are words of SAMPLE_DOCS documents and identifiers joined
 hashes. Only the table of transition counts (at most 80 x 80) reaches the driver. Scanning reads whole texts.
 
 Defined results: null and empty texts have no spans; positions are code points, end exclusive. Rows that repeat a doc_id are
-documents of their own. An empty corpus leaves the generated strings against a uniform model. Other columns are not read.
+documents of their own. Whole texts are read; thousands of matches in one text cost little more each than a few do. An empty
+corpus leaves the generated strings against a uniform model. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{16,}+(?!\p{L}|\p{N})"
 WORD = r"(?<![\p{L}\p{N}])[A-Za-z]{4,}+(?!\p{L}|\p{N})"
 SAMPLE, SAMPLE_DOCS, GENERATED = 20_000, 2_000, 2_000
 MIN_RATIO, SMOOTHING, BACK_OFF = 8.0, 0.5, 8.0
+#: Matches of a text are collected in chunks of this many.
+CHUNK = 128
 #: Tokens are made of characters from + (43) to z (122).
 FIRST, WIDTH = 43, 80
 
@@ -36,7 +40,13 @@ def spans_of(text: Column, regex: str, kind: str, group: int = 0, least: int = 0
     values = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
     parts = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.char_length).alias("gap"), hits.alias("hit"), values.alias("value"))
     span = "struct<start:int,kind:string,end:int,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    none = F.array().cast(f"array<{span}>")
+
+    def total(done: Column, part: Column) -> Column:
+        return done + part["gap"] + F.char_length(part["hit"])
+
+    def before(done: Column, width: Column) -> Column:
+        return F.struct((done["at"] + width).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts"))
 
     def step(done: Column, part: Column) -> Column:
         begin = done["at"] + part["gap"]
@@ -44,7 +54,41 @@ def spans_of(text: Column, regex: str, kind: str, group: int = 0, least: int = 0
         made = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value")).cast(span)
         return F.struct(end.alias("at"), F.when(F.char_length(part["value"]) >= least, F.concat(done["spans"], F.array(made))).otherwise(done["spans"]).alias("spans"))
 
-    return F.when(text.rlike(regex), F.aggregate(parts, start, step, lambda done: done["spans"])).otherwise(F.array().cast(f"array<{span}>"))
+    def spans(chunk: Column) -> Column:
+        return F.aggregate(chunk["parts"], F.struct(chunk["start"].alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+
+    def placed(chunks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), total)), first, before, lambda done: done["starts"])
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("parts"), starts.alias("start")), spans))
+
+    # matches in chunks: a chunk's spans are collected by copying an array that stays small
+    return F.when(text.rlike(regex), once(once(parts, chunked), placed)).otherwise(none)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed one time for a row, however often `use` and its lambdas mention it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunked(items: Column) -> Column:
+    """An array cut into arrays of CHUNK items."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / CHUNK).cast("int"), F.lit(0))), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def apart_from(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. Tokens are in order and go in chunks, each compared with the spans in its reach."""
+
+    def reach(chunk: Column) -> Column:
+        return F.struct(chunk.alias("tokens"), F.array_min(chunk["start"]).alias("a"), F.array_max(chunk["end"]).alias("b"))
+
+    def near(r: Column) -> Column:
+        return F.struct(r["tokens"].alias("tokens"), F.filter(base, lambda b: (b["start"] < r["b"]) & (b["end"] > r["a"])).alias("base"))
+
+    def apart(r: Column) -> Column:
+        return F.filter(r["tokens"], lambda s: ~F.exists(r["base"], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+
+    return once(once(tokens, chunked), lambda chunks: F.flatten(F.transform(F.transform(F.transform(chunks, reach), near), apart)))
 
 
 def base_spans(text: Column) -> Column:
@@ -109,7 +153,7 @@ def find_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_r
     random, ordinary = samples(scanned)
     table = ratios(transitions(random), transitions(ordinary))
     tokens = F.filter(spans_of(F.col("text"), TOKEN, "random"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    apart = F.filter(tokens, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    apart = apart_from(tokens, F.col("base"))
     added = F.filter(apart, lambda s: ratio_of(s["value"], table) > min_ratio)
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return scanned.select("doc_id", bare(F.col("base")).alias("base"), bare(added).alias("added"))

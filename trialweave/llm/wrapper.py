@@ -29,14 +29,17 @@ from trialweave.llm.dom import Element, parse
 
 #: A text is template if it fills a node on this share of the host's pages, and on MIN_PAGES different ones at least.
 TEMPLATE, MIN_PAGES = 0.6, 3
-#: Texts counted for a node (Misra-Gries: those on more than 1 / (TEXTS + 1) of its fills are never lost).
-TEXTS = 24
+#: Texts counted for a node by Misra-Gries: TEXTS and TEXTS_PER_FILL times the texts that a page fills it with on average.
+#: So the counts lose at most one part in TEXTS_PER_FILL of the pages, and what was lost is added again where it matters.
+TEXTS, TEXTS_PER_FILL = 24, 8
+#: Children of two nodes are aligned by simple tree matching; above so many pairs, equal labels at both ends are paired first.
+ALIGN_PAIRS = 10_000
 #: From this many nodes on, nodes on less than RARE of a wrapper's pages are cut; they can be neither template nor main.
 MOST_NODES, RARE = 2_000, 0.01
 FAN_IN = 16
 
-# A wrapper node is [label, boiler, pages, mass, texts, children]; texts: digest -> [pages, characters, marks]. Each page
-# sets one of 64 marks by its own digest, so a text that only copies of one page have does not look like a template.
+# A wrapper node is [label, boiler, pages, mass, texts, children, fills, lost]; texts: digest -> [pages, characters, marks];
+# fills: texts that pages fill it with, in all; lost: what Misra-Gries took from each count. Each page sets one of 64 marks by its own digest, so a text that only copies of one page have does not look like a template.
 
 
 def digest(text: str) -> str:
@@ -57,7 +60,7 @@ def wrap(element: Element, mark: int = 1) -> list:
                 _merge_into(kids[-1], made, same_page=True)
             else:
                 kids.append(made)
-    return [element.label, element.boiler, 1, mass, texts, kids]
+    return [element.label, element.boiler, 1, mass, texts, kids, len(texts), 0]
 
 
 def _weight(a: list, b: list) -> int:
@@ -70,6 +73,16 @@ def _pairs(a: list, b: list) -> list[tuple[int, int]]:
     xs, ys = a[5], b[5]
     if [x[0] for x in xs] == [y[0] for y in ys]:
         return [(k, k) for k in range(len(xs))]
+    if len(xs) * len(ys) > ALIGN_PAIRS:
+        least, head, tail = min(len(xs), len(ys)), 0, 0
+        while head < least and xs[head][:2] == ys[head][:2]:
+            head += 1
+        while tail < least - head and xs[-1 - tail][:2] == ys[-1 - tail][:2]:
+            tail += 1
+        if head or tail:
+            inner = _pairs([*a[:5], xs[head : len(xs) - tail]], [*b[:5], ys[head : len(ys) - tail]])
+            ends = [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
+            return [*((k, k) for k in range(head)), *((i + head, j + head) for i, j in inner), *ends]
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     gain = {(i, j): _weight(x, y) for i, x in enumerate(xs) for j, y in enumerate(ys) if x[0] == y[0] and x[1] == y[1]}
     for i in range(1, len(xs) + 1):
@@ -97,9 +110,13 @@ def _merge_into(a: list, b: list, same_page: bool = False) -> None:
             texts[key] = [max(texts[key][0], n) if same_page else texts[key][0] + n, chars, texts[key][2] | marks]
         else:
             texts[key] = [n, chars, marks]
-    if len(texts) > TEXTS and not same_page:
-        cut = sorted((n for n, _, _ in texts.values()), reverse=True)[TEXTS]
+    a[6] = len(texts) if same_page else a[6] + b[6]
+    a[7] += b[7]
+    most = TEXTS + TEXTS_PER_FILL * a[6] // max(a[2], 1)
+    if len(texts) > 2 * most and not same_page:  # cut to half, so that a merge does not sort each time
+        cut = sorted((n for n, _, _ in texts.values()), reverse=True)[most]
         a[4] = {k: [n - cut, chars, marks] for k, (n, chars, marks) in texts.items() if n > cut}
+        a[7] += cut
     if not b[5]:
         return
     merged, i, j = [], 0, 0
@@ -132,14 +149,14 @@ def merge(a: list | None, b: list) -> list:
 
 
 def _template(node: list, pages: int) -> set[str]:
-    return {key for key, (n, _, marks) in node[4].items() if n >= TEMPLATE * pages and marks.bit_count() >= MIN_PAGES}
+    return {key for key, (n, _, marks) in node[4].items() if n + node[7] >= TEMPLATE * pages and marks.bit_count() >= MIN_PAGES}
 
 
 def _varying(node: list, pages: int) -> int:
     """Characters under a node outside template texts, boilerplate and links."""
     if node[1]:
         return 0
-    fixed = sum(node[4][k][0] * node[4][k][1] for k in _template(node, pages))
+    fixed = sum((node[4][k][0] + node[7]) * node[4][k][1] for k in _template(node, pages))
     return max(0, node[3] - fixed) + sum(_varying(k, pages) for k in node[5])
 
 
