@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from conftest import plan_of, same_rows
@@ -143,6 +144,16 @@ def test_numbering_is_consecutive(skewed):
     assert sorted(r.no for r in out.select("no").collect()) == list(range(1, skewed.count() + 1))
 
 
+def test_numbering_by_a_tree_of_counts(skewed):
+    day, hour = F.date_trunc("DAY", "Timestamp"), F.date_trunc("HOUR", "Timestamp")
+    rows = skewed.withColumn("Timestamp", F.when(F.col("event_id") % 50 > 0, F.col("Timestamp")))  # unknown times come last
+    out = sequence.number_rows(rows, list(ORDER), "no", bucket=[day, hour])
+    plain = rows.withColumn("no", F.expr("row_number() over (order by Timestamp asc nulls last, event_id)").cast("bigint"))
+    same_rows(out, plain)
+    single = [line for line in plan_of(out).splitlines() if "SinglePartition" in line]
+    assert len(single) == 1  # the table of days
+
+
 def test_plans(spark, small_dir):
     log = study.study_log(spark, small_dir)
     gaps = plan_of(sequence.gap_seconds(log, ORDER))
@@ -153,8 +164,9 @@ def test_plans(spark, small_dir):
     for labels in (sequence.label_periods(log, ORDER), sequence.gate_run(log, ORDER)):
         plan = plan_of(labels)
         keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-        assert keyed and "SinglePartition" not in plan  # rows by piece, and one row per piece by its keys (_w0)
-        assert all("hashpartitioning(_piece#" in line or "hashpartitioning(_w0#" in line for line in keyed), keyed
+        assert keyed and "SinglePartition" not in plan  # rows by piece, and one row per piece by its keys
+        assert all(re.search(r"hashpartitioning\((_piece|_group|_w\d)#", line) for line in keyed), keyed
+        assert sum("(_group#" in line for line in keyed) <= 1
 
 
 def test_fused_summary_equals_joined_aggregates(spark, small_dir):

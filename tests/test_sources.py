@@ -1,8 +1,9 @@
 import pytest
-from conftest import same_rows
+from conftest import plan_of, same_rows
 from pyspark.sql import functions as F
 
 from trialweave.operators import sequence, sessions
+from trialweave.plans import study
 from trialweave.sources import logs, tables
 
 
@@ -126,3 +127,19 @@ def test_snapshots_and_small_tables(spark, tmp_path):
 def test_source_path(spark, root):
     df = logs.with_source_path(spark.read.csv(f"{root}/Kiwi/1/50A/r_Game.csv", sep=";", header=True))
     assert df.select(F.col("source_path")).distinct().count() == 1
+
+
+def test_bucketed_table_needs_no_exchange(spark, small_dir, tmp_path):
+    """Labels and summary of sessions, and their join, stay in the buckets."""
+    log = study.study_log(spark, small_dir)
+    keys = list(sequence.SESSION_KEYS)
+    kept = tables.write_bucketed(sequence.gap_seconds(log, study.ORDER), "bucketed_log", str(tmp_path / "b"), keys, ["Timestamp", "event_id"], 8)
+    try:
+        labelled = sequence.label_periods(kept, study.ORDER, pieces=False)
+        counts = kept.groupBy(*keys).agg(F.count("*").alias("rows"))
+        both = labelled.join(counts, keys)
+        for plan in (plan_of(labelled), plan_of(counts), plan_of(both.hint("merge"))):
+            assert "Exchange hashpartitioning" not in plan and "bucketed_log" in plan
+        same_rows(labelled, sequence.label_periods(sequence.gap_seconds(log, study.ORDER), study.ORDER))
+    finally:
+        spark.sql("DROP TABLE IF EXISTS bucketed_log")

@@ -121,11 +121,12 @@ def label_scan(df: DataFrame, order: Sequence[str], keys: Sequence[str], marker:
 
 def _piece_states(parts: DataFrame, gated: bool, run: int, lost: int) -> DataFrame:
     """One row per piece with rows to keep: the part kept and the state of the log before it."""
-    group = Window.partitionBy(f"{PIECE}.keys")
-    along = group.orderBy(f"{PIECE}.grid", "_part")
+    parts = parts.withColumns({"_group": F.col(f"{PIECE}.keys"), "_place": F.col(f"{PIECE}.grid")})
+    group = Window.partitionBy("_group")
+    along = group.orderBy("_place", "_part")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     if gated:
-        in_piece = Window.partitionBy(f"{PIECE}.keys", f"{PIECE}.grid")
+        in_piece = Window.partitionBy("_group", "_place")
         final = F.col("_part") == F.max("_part").over(in_piece)
         parts = parts.withColumn("_adds", F.when(final, F.max("_runs").over(in_piece)).otherwise(0))
         parts = parts.withColumns({"_ran": F.coalesce(F.sum("_adds").over(before), F.lit(0)), "_ended": F.max(F.col("_part") == lost).over(before)})

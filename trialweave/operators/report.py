@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions.missing import if_else_na, paste_na, plain_text
@@ -51,7 +51,7 @@ def participant_blocks(players: DataFrame, bucket, width: int = 16,
     that never decreases with the participant, see ``number_rows``.
     """
     people = players.groupBy("Participant").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    numbered = number_rows(people, ["Participant"], "_no", bucket=[bucket], pieces=pieces)
+    numbered = number_rows(people, ["Participant"], "_no", bucket=bucket if isinstance(bucket, (list, tuple)) else [bucket], pieces=pieces)
     place = numbered.select(plain_text(numbered, "Participant"),
                             F.floor((F.col("_no") - 1) / width).alias("block"),
                             F.concat(F.lit("p"), ((F.col("_no") - 1) % width + 1)).alias("column"))
@@ -81,12 +81,21 @@ def delimited_text(df: DataFrame, keys: Sequence[str], cols: Sequence[str], orde
     return lines.groupBy(*keys).agg(F.array_join(F.concat(header, body), row_sep).alias(out))
 
 
+# Study keys and the labels they are printed with.
+BRAIN_STUDY, BRAIN_INPUT, OTHER_INPUT = "realbci", "BCI (EEG, MRP)", "Eye-blinks"
+PATIENT_STUDY, PATIENTS, OTHERS = "strokesur", "Stroke patients", "Non-patients"
+
+
+def study_labels() -> dict[str, Column]:
+    study = F.col("study")
+    return {"BCI input": if_else_na(study == BRAIN_STUDY, F.lit(BRAIN_INPUT), F.lit(OTHER_INPUT)),
+            "Participants": if_else_na(study == PATIENT_STUDY, F.lit(PATIENTS), F.lit(OTHERS))}
+
+
 def study_table(coefficients: DataFrame) -> DataFrame:
     """Study coefficients with derived labels and print names."""
-    study = F.col("study")
     return coefficients.select(
-        if_else_na(study == "realbci", F.lit("BCI (EEG, MRP)"), F.lit("Eye-blinks")).alias("BCI input"),
-        if_else_na(study == "strokesur", F.lit("Stroke patients"), F.lit("Non-patients")).alias("Participants"),
+        *[c.alias(n) for n, c in study_labels().items()],
         F.col("perc_intercept").alias("Agency (alpha)"), F.col("perc_slope").alias("Agency (beta)"),
         F.col("frust_intercept").alias("Frustration (alpha)"), F.col("frust_slope").alias("Frustration (beta)"))
 
@@ -114,5 +123,5 @@ def ordered_series(sessions: DataFrame, values: Sequence[str], bucket,
     """
     order = ["Participant", "ConditionOrder", "Condition"]
     rows = sessions.select("GameTitle", *order, *[v for v in values if v not in order])
-    numbered = number_rows(rows, order, "position", start=0, keys=["GameTitle"], bucket=[bucket], pieces=pieces)
+    numbered = number_rows(rows, order, "position", start=0, keys=["GameTitle"], bucket=bucket if isinstance(bucket, (list, tuple)) else [bucket], pieces=pieces)
     return numbered.withColumn("label", paste_na(plain_text(numbered, "Participant"), "Condition"))

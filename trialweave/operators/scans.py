@@ -19,6 +19,8 @@ The order must be total (end it with a unique column). Missing order values sort
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -36,22 +38,24 @@ PIECE_SECONDS, PIECE_NUMBERS, PIECE_LETTERS = 60, 4096, 2
 PIECES_PER_OCTAVE = 64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; make one only where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one is made only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
-        return
+        return sc.getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="trialweave-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps read it and never recompute what made it."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -139,10 +139,11 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start
                 keys: Sequence[str] = (), bucket: Sequence[Column] = (), pieces: bool = True) -> DataFrame:
     """Consecutive numbers along a total order, without sorting everything in one task.
 
-    ``bucket`` are columns that never decrease along ``order`` inside ``keys`` (a leading
-    order column, or a coarser form of it). Rows are numbered inside a bucket; the sizes of
-    the buckets before are added from a table with one row per bucket. The input is read up
-    to three times, so give it a file scan or a stored table.
+    ``bucket`` are columns, coarse to fine, that never decrease along ``order`` inside ``keys``
+    and the buckets before (a leading order column, or a coarser form of it). Rows are numbered
+    inside the finest bucket, and a tree of counts adds what comes before it: each level sums
+    the buckets before it inside their parent only, so only the coarsest level is ever in one task.
+    The input is read up to three times, so give it a file scan or a stored table.
     """
     names = [f"_bucket{i}" for i in range(len(bucket))]
     rows = df.withColumns(dict(zip(names, bucket))) if names else df
@@ -152,9 +153,23 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "session", start
     numbered = ordered_scan(rows, inner, order,
                             lambda part, scan: scan.running_sum(part, **{out: F.lit(1)}), pieces)
     if names:
-        before = Window.partitionBy(*keys).orderBy(*asc_last(*names)).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n"))
-        offsets = sizes.select(*inner, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        offsets = _tree_offsets(rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n")), list(keys), names)
         numbered = join_null_safe(numbered, offsets, inner).withColumn(out, F.col(out) + F.col("_offset"))
     return (numbered.withColumn(out, (F.col(out) + F.lit(start - 1)).cast("bigint"))
             .drop("_offset", *names))
+
+
+def _tree_offsets(sizes: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Rows before each bucket, from the sizes ``_n`` of the finest ones: counted up the levels, summed down again."""
+    levels = {len(names): sizes}
+    for depth in range(len(names) - 1, 0, -1):
+        levels[depth] = levels[depth + 1].groupBy(*keys, *names[:depth]).agg(F.sum("_n").alias("_n"))
+    above = None
+    for depth in range(1, len(names) + 1):
+        parent = [*keys, *names[:depth - 1]]
+        before = Window.partitionBy(*parent).orderBy(*asc_last(names[depth - 1])).rowsBetween(Window.unboundedPreceding, -1)
+        here = levels[depth].withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        if above is not None:
+            here = join_null_safe(here, above, parent).withColumn("_offset", F.col("_offset") + F.col("_above")).drop("_above")
+        above = here.withColumnRenamed("_offset", "_above")
+    return above.withColumnRenamed("_above", "_offset")

@@ -162,7 +162,7 @@ def below_global_max(spark, d):
 @query(with_parts("metrics") + f"""SELECT {K}, row_number() OVER (ORDER BY {K}) AS session, totalTrials FROM metrics""")
 def numbered_sessions(spark, d):
     counts = stored(sessions.trial_counts(study.study_log(spark, d)))
-    return sequence.number_rows(counts, KEYS, "session", bucket=[F.col("GameTitle"), F.floor(F.col("Participant") / 1024)],
+    return sequence.number_rows(counts, KEYS, "session", bucket=[F.col("GameTitle"), *_people_bucket()],
                                 pieces=False).select(*KEYS, "session", "totalTrials")
 
 
@@ -754,7 +754,7 @@ def running_line_smooth(spark, d):
 # --- reshape and reports ------------------------------------------------------------------
 
 def _people_bucket():
-    return F.floor(F.col("Participant") / 1024)
+    return [F.floor(F.col("Participant") / (1 << 20)), F.floor(F.col("Participant") / 1024)]
 
 
 _FEATURES_SQL = with_parts("players") + """, feat AS (

@@ -131,10 +131,15 @@ SELECT * EXCLUDE (runs) FROM (SELECT *, count(CASE WHEN Event = 'GameRunning' TH
   (PARTITION BY {K} ORDER BY Timestamp, event_id ROWS UNBOUNDED PRECEDING) AS runs FROM ungated) WHERE runs = 1"""
 
 
-def with_gate(*names: str) -> str:
-    """The parts over the log with stops and discarded labels, reduced to the first game run of each session."""
+def with_gate(*names: str, kept: bool = False) -> str:
+    """The parts over the log with stops and discarded labels, reduced to the first game run of each session.
+
+    ``kept``: the session table has no discarded conditions.
+    """
     plain = {"plain_log": PARTS["log"], "log": (("plain_log",), STOPS),
              "ungated": (("log",), PARTS["gaps"][1]), "gaps": (("ungated",), GATED)}
+    if kept:
+        plain |= {"all_st": PARTS["st"], "st": (("all_st",), "SELECT * FROM all_st WHERE coalesce(Condition NOT IN ('50A_WRONG', '50A-2'), true)")}
     return with_parts(*names, parts=PARTS | plain)
 
 

@@ -124,12 +124,17 @@ def gated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per session: metrics, rates, ratings and flags.
+    """One row per session: metrics, rates, ratings and flags."""
+    return _rated(spark, sf_dir, session_rates(session_summary(labelled_log(spark, sf_dir))))
 
-    Ratings hold one row per session, so they are joined to the finished sessions and
-    never to the log.
-    """
-    sessions = session_summary(labelled_log(spark, sf_dir))
+
+def gated_session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the first game run of each session, without discarded conditions."""
+    return _rated(spark, sf_dir, gated_sessions(spark, sf_dir))
+
+
+def _rated(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> DataFrame:
+    """Ratings hold one row per session, so they are joined to the finished sessions and never to the log."""
     ratings = study_ratings(spark, sf_dir).select(
         *SESSION_KEYS, *[F.col(c).alias(n) for c, n in RATING_COLUMNS.items()])
-    return experience_flags(session_rates(attach_ratings(sessions, ratings)))
+    return experience_flags(attach_ratings(sessions, ratings))
