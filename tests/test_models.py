@@ -223,6 +223,49 @@ def test_smoother_against_brute_force(spark, pieces):
         assert got[key] == pytest.approx(value, abs=1e-9), key
 
 
+def plain_lines(x, y, span, flat):
+    """Running line with leave-one-out residuals, and its average over tied x."""
+    n, k = len(x), max(2, int(np.floor(0.5 * span * len(x) + 0.5)))
+    fit, left = np.empty(n), np.empty(n)
+    for j in range(n):
+        c = max(k, min(n - 1 - k, j))
+        part = slice(0, n) if 2 * k + 1 > n else slice(c - k, c + k + 1)
+        mx, my = x[part].mean(), y[part].mean()
+        var = ((x[part] - mx) ** 2).sum()
+        slope = ((x[part] - mx) * (y[part] - my)).sum() / var if var > flat else 0.0
+        fit[j] = my + slope * (x[j] - mx)
+        hold = 1 / len(x[part]) + ((x[j] - mx) ** 2 / var if var > flat else 0.0)
+        left[j] = abs(y[j] - fit[j]) / (1 - hold) if 1 - hold > 1e-12 else 0.0
+    return np.array([fit[x == v].mean() for v in x]), left
+
+
+@pytest.mark.parametrize("bass", [0, 5, 9.5])
+def test_super_smoother_against_brute_force(spark, bass):
+    rng = random.Random(21)
+    rows = [("a", (v := rng.random() * 6), math.sin(v) * (1 if v < 3 else 4) + rng.gauss(0, 0.3), i) for i in range(160)]
+    rows += [("b", rng.randrange(25) / 25, rng.random(), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, i int")
+    got = {(r.k, r.x): r.y for r in smooth.running_line_smooth(df, "y", "x", ["k"], "i", bass=bass).collect()}
+    for k in "ab":
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[3]))
+        x, y = np.array([r[1] for r in mine]), np.array([r[2] for r in mine])
+        n = len(x)
+        flat = (1e-3 * (x[3 * (n // 4) - 1] - x[n // 4 - 1])) ** 2
+        lines = [plain_lines(x, y, span, flat) for span in smooth.SPANS]
+        errors = [plain_lines(x, left, 0.2, flat)[0] for _, left in lines]
+        span = np.array([smooth.SPANS[int(np.argmin(e))] for e in zip(*errors)])
+        for j in range(n):
+            least, last = min(e[j] for e in errors), errors[2][j]
+            if bass and 0 < least < last:
+                span[j] += (0.5 - span[j]) * max(1e-7, least / last) ** (10 - bass)
+        span = np.clip(plain_lines(x, span, 0.2, flat)[0], 0.05, 0.5)
+        value = np.array([np.interp(s, smooth.SPANS, [line[j] for line, _ in lines]) for j, s in enumerate(span)])
+        for v, out in zip(x, plain_lines(x, value, 0.05, flat)[0]):
+            assert got[k, v] == pytest.approx(out, abs=1e-8), (k, v)
+    with pytest.raises(ValueError):
+        smooth.running_line_smooth(df, "y", "x", ["k"], "i", bass=11)
+
+
 def test_chi_square_tail_as_a_column(spark):
     cases = [(x, df) for x in (0.0, 1e-6, 0.3, 1.0, 3.84, 11.0, 40.0, 200.0) for df in (1, 2, 3, 4, 5, 8, 9, 30, 101)]
     got = spark.createDataFrame(cases, "x double, df int").withColumn("p", tails.chi2_tail_column(F.col("x"), F.col("df"))).collect()

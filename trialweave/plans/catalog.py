@@ -751,6 +751,60 @@ def running_line_smooth(spark, d):
     return out.withColumn("y", F.round("y", 5))
 
 
+def _line_pass(src, value, out, span):
+    """``out``: the running line of ``value`` with its residual that leaves the row out, and ``m``, averaged over tied x."""
+    return f"""{out}_w AS (SELECT *, greatest(2, CAST(floor(0.5 * {span} * n + 0.5) AS BIGINT)) AS k FROM {src}),
+{out}_c AS (SELECT *, CASE WHEN 2 * k + 1 > n THEN 1 ELSE greatest(k + 1, least(n - k, rn)) - k END AS lo,
+  CASE WHEN 2 * k + 1 > n THEN n ELSE greatest(k + 1, least(n - k, rn)) + k END AS hi FROM {out}_w),
+{out}_s AS (SELECT a.Condition, a.rn, any_value(a.x) AS x, any_value(a.{value}) AS v, any_value(a.flat) AS flat, count(*) AS m, avg(b.x) AS mx,
+  avg(b.{value}) AS my, regr_sxx(b.{value}, b.x) AS sxx, regr_sxy(b.{value}, b.x) AS sxy
+  FROM {out}_c a JOIN {src} b ON a.Condition = b.Condition AND b.rn BETWEEN a.lo AND a.hi GROUP BY a.Condition, a.rn),
+{out}_f AS (SELECT *, my + CASE WHEN sxx > flat THEN sxy / sxx ELSE 0 END * (x - mx) AS fit,
+  1 - 1 / m - CASE WHEN sxx > flat THEN (x - mx) * (x - mx) / sxx ELSE 0 END AS left_out FROM {out}_s),
+{out} AS (SELECT Condition, rn, CASE WHEN left_out > 1e-12 THEN abs(v - fit) / left_out ELSE 0 END AS r,
+  avg(fit) OVER (PARTITION BY Condition, x) AS y2 FROM {out}_f)"""
+
+
+def _super_smooth_sql(bass):
+    pull = f"""CASE WHEN least(e0.y2, e1.y2, e2.y2) < e2.y2 AND least(e0.y2, e1.y2, e2.y2) > 0 THEN
+(0.5 - s) * power(greatest(1e-7, least(e0.y2, e1.y2, e2.y2) / e2.y2), {10 - bass}) ELSE 0 END""" if bass else "0"
+    return with_parts("st") + """, base AS (SELECT Condition, rate_feedback AS x, PercNormalized AS y,
+  row_number() OVER (PARTITION BY Condition ORDER BY rate_feedback, concat(GameTitle, ' ', lpad(Participant::VARCHAR, 12, '0'))) AS rn,
+  count(*) OVER (PARTITION BY Condition) AS n FROM st WHERE rate_feedback IS NOT NULL AND PercNormalized IS NOT NULL),
+sc AS (SELECT Condition, power(1e-3 * (max(x) FILTER (rn = least(3 * (n // 4), n)) - max(x) FILTER (rn = n // 4)), 2) AS flat
+  FROM base GROUP BY 1),
+b0 AS (SELECT * FROM base JOIN sc USING (Condition)),
+""" + ",\n".join(_line_pass("b0", "y", f"f{i}", span) for i, span in enumerate((0.05, 0.2, 0.5))) + """,
+b1 AS (SELECT b0.*, f0.r AS r0, f1.r AS r1, f2.r AS r2, f0.y2 AS m0, f1.y2 AS m1, f2.y2 AS m2 FROM b0
+  JOIN f0 USING (Condition, rn) JOIN f1 USING (Condition, rn) JOIN f2 USING (Condition, rn)),
+""" + ",\n".join(_line_pass("b1", f"r{i}", f"e{i}", 0.2) for i in range(3)) + f""",
+b2 AS (SELECT b.*, s + {pull} AS best FROM (SELECT b1.*, CASE WHEN e0.y2 <= least(e1.y2, e2.y2) THEN 0.05
+  WHEN e1.y2 <= e2.y2 THEN 0.2 ELSE 0.5 END::DOUBLE AS s FROM b1 JOIN e0 USING (Condition, rn) JOIN e1 USING (Condition, rn)
+  JOIN e2 USING (Condition, rn)) b JOIN e0 USING (Condition, rn) JOIN e1 USING (Condition, rn) JOIN e2 USING (Condition, rn)),
+{_line_pass("b2", "best", "q", 0.2)},
+b3 AS (SELECT b2.*, greatest(0.05, least(0.5, q.y2)) - 0.2 AS off FROM b2 JOIN q USING (Condition, rn)),
+b4 AS (SELECT *, CASE WHEN off < 0 THEN (1 + off / 0.15) * m1 - off / 0.15 * m0 ELSE (1 - off / 0.3) * m1 + off / 0.3 * m2 END AS v FROM b3),
+{_line_pass("b4", "v", "z", 0.05)}
+SELECT Condition, {rnd('x')}, {rnd('max(z.y2)', 'y', 5)} FROM b4 JOIN z USING (Condition, rn) GROUP BY Condition, x"""
+
+
+def _super_smooth(spark, d, bass):
+    rows = study.session_table(spark, d).withColumn(
+        "tie", F.concat_ws(" ", "GameTitle", F.lpad(F.col("Participant").cast("string"), 12, "0")))
+    out = smooth.running_line_smooth(rows, "PercNormalized", "rate_feedback", ["Condition"], "tie", bass=bass)
+    return out.withColumn("y", F.round("y", 5))
+
+
+@query(_super_smooth_sql(0), digits=6)
+def super_smooth_plain(spark, d):
+    return _super_smooth(spark, d, 0)
+
+
+@query(_super_smooth_sql(5), digits=6)
+def super_smooth_bass(spark, d):
+    return _super_smooth(spark, d, 5)
+
+
 # --- reshape and reports ------------------------------------------------------------------
 
 def _people_bucket():
