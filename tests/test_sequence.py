@@ -99,6 +99,17 @@ def test_pieces_of_numbers_and_texts_follow_the_order(spark):
         assert shown == sorted(shown)
 
 
+def test_any_kind_of_key_is_cut_into_pieces(spark):
+    df = spark.range(1000).select(
+        "id", F.date_add(F.lit("2021-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.format_string("user_%04d", "id").alias("name"),
+        (1000 + F.col("id") / 100).alias("price"), (0.5 + F.col("id") / 2000).alias("rate"), (F.col("id") + 70_000).cast("int").alias("number"))
+    for column, least in {"day": 1000, "name": 1000, "price": 500, "rate": 1000, "number": 60}.items():
+        cells = [r[0] for r in df.orderBy("id").select(scans.grid_of(df, [column, "id"])["at"]).collect()]
+        assert len(set(cells)) >= least and cells == sorted(cells), column
+        run = sequence.number_rows(df.withColumn("k", F.lit(1)), [column, "id"], "no", keys=["k"])
+        assert run.where("no <> id + 1").count() == 0
+
+
 def test_rows_are_shuffled_by_piece_once(skewed):
     jobs = skewed.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(None)
     for out in (sequence.label_periods(skewed, ORDER), sequence.label_run(skewed, ORDER), sequence.fill_down(skewed, {"w": "InputWindow"}, ORDER, KEYS)):

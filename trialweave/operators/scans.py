@@ -2,8 +2,9 @@
 
 A running sum, a fill or a lag needs its group in order, and a window runs one group in one
 task. ``ordered_scan`` therefore cuts every group into pieces by a fixed grid on the leading
-order column: a minute of a time, a range of a number, the first letters of a text. The grid
-never looks at the data, so the plan is the same for any size.
+order column: a minute of a time, a day, a range of a number, the first letters of a text. The grid
+never looks at the data, so the plan is the same for any size. It is fine, as a piece costs one row of a
+small table: rows share a task only if their group and leading values are nearly the same.
 
 ``PieceScan`` runs the window inside a piece and adds what the earlier pieces of the group
 carry in, a table of one row per piece. The rows are shuffled by piece, once, and the carry is
@@ -33,9 +34,9 @@ from trialweave.functions.missing import asc_last
 from trialweave.functions.scalars import seconds_between
 
 PIECE = "_piece"
-PIECE_SECONDS, PIECE_NUMBERS, PIECE_LETTERS = 60, 4096, 2
+PIECE_SECONDS, PIECE_NUMBERS, PIECE_LETTERS = 60, 16, 16
 #: Parts of the fixed grid for fractions: each doubling of the size has so many pieces.
-PIECES_PER_OCTAVE = 64
+PIECES_PER_OCTAVE = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -114,9 +115,11 @@ def grid_of(df: DataFrame, order: Sequence[str]) -> Column:
             return F.floor(seconds_between(epoch, c) / PIECE_SECONDS).cast("bigint")
         if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
             x = c.cast("double")
-            size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1024.0)) * PIECES_PER_OCTAVE) + (1 << 20)
+            size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1024.0)) * PIECES_PER_OCTAVE) + (1 << 28)
             sign = F.when(x > 0, 1).when(x < 0, -1).otherwise(0)  # not-a-number is above every number
             return F.when(F.isnan(x), 1 << 40).when(x == 0, 0).otherwise(sign * size).cast("bigint")
+        if isinstance(kind, T.DateType):
+            return F.unix_date(c).cast("bigint")
         if isinstance(kind, T.IntegralType):
             return F.floor(c / PIECE_NUMBERS).cast("bigint")
         return F.substring(c.cast("string"), 1, PIECE_LETTERS)
