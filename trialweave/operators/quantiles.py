@@ -77,11 +77,13 @@ def select_ranks(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
         cell = tables[level].withColumn("_cell", F.shiftright("_bits", DIGIT_BITS))
         order = ["_bits", "_v"] if level == 0 else ["_bits"]
         along = Window.partitionBy("_k", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        near = found.select("_k", "_cell").distinct()
-        cell = cell.join(near, ["_k", "_cell"], "left_semi").withColumn("_upto", F.sum("_n").over(along))
-        here = cell.join(found, ["_k", "_cell"]).where((F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_n")))
-        left = (F.col("_rest") - (F.col("_upto") - F.col("_n"))).alias("_rest")
-        found = here.select("_k", F.col("_bits").alias("_cell"), "_total", "_i", left, *(["_v"] if level == 0 else []))
+        want = found.groupBy("_k", "_cell", "_total").agg(F.collect_list(F.struct("_i", "_rest")).alias("_wants"))  # two a probability at most
+        here = cell.join(want, ["_k", "_cell"]).withColumn("_upto", F.sum("_n").over(along))
+        before = F.col("_upto") - F.col("_n")
+        inside = F.filter("_wants", lambda w: (w["_rest"] < F.col("_upto")) & (w["_rest"] >= before))
+        here = here.where(F.size(inside) > 0).withColumn("_w", F.explode(inside))
+        left = (F.col("_w._rest") - before).alias("_rest")
+        found = here.select("_k", F.col("_bits").alias("_cell"), "_total", F.col("_w._i").alias("_i"), left, *(["_v"] if level == 0 else []))
 
     def at(i: int) -> Column:
         return F.max(F.when(F.col("_i") == i, F.col("_v")))
