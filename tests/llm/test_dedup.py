@@ -40,6 +40,15 @@ def test_exact_dedup(spark, counters):
     assert sorted(map(tuple, got), key=str) == brute_exact(ROWS)
 
 
+@pytest.mark.parametrize("counters", [1, 1024])
+def test_of_rows_that_tie_one_stays(spark, counters):
+    rows = [(4, "x y", "s")] * 50 + [(None, "z", "s")] * 3 + [(5, "x y", "s"), (6, "xy", None)]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(5), counters=counters).collect()
+    assert len(got) == len(rows) and sorted((r.keep_id, r.kept) for r in got if r.kept and r.doc_id is not None) == [(4, True)]
+    assert sum(r.kept for r in got if r.doc_id is None) == 1
+    assert {r.group_size for r in got} == {52, 3}
+
+
 def test_heavy_digests_are_found_and_bounded(spark):
     table = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).cast("binary").alias("digest"))
     found = [bytes(r.digest) for r in exact_dedup.heavy_digests(table.repartition(7), 10).collect()]
