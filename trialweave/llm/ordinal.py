@@ -5,7 +5,8 @@ positive gaps. x is log(1 + count) of the features chosen for the model: words,
 of three to five letters, which also catch altered endings. The labels are 0/1, so grades are made of them:
 0 is a document that is not toxic, and toxic ones are graded 1 to 3 by the tercile of their sum of x over toxic-leaning features.
 
-Fitted on a bounded sample: the SAMPLE labelled documents with the smallest hashes of doc_id. Scoring reads whole texts.
+Fitted on a bounded sample: the SAMPLE labelled doc_ids with the smallest hashes, one row each, however often an id repeats (the text
+with the smallest hash). Scoring reads whole texts.
 
 Defined results: null and empty texts have no words and get the intercepts. Null labels are not used; where labels of a
 doc_id differ, toxic wins. Without labels of both kinds every document gets the same severity, and none is toxic unless
@@ -69,10 +70,11 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, size: int = SAMPLE) -> DataFrame:
-    """toxic and text of at most `size` labelled documents; at most `size` ids are broadcast."""
+    """toxic and text of at most `size` labelled documents, one row an id; at most `size` ids are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg((F.max(F.col(label)) > 0).alias("_toxic"))
     ids = known.orderBy(F.xxhash64(doc), doc).limit(size)
-    return docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), doc).select("_toxic", "text")
+    rows = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids.withColumnRenamed(doc, "_id")), "_id")
+    return rows.groupBy("_id", "_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("_toxic", "text")
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def fit(
     size: int = SAMPLE, vocabulary: int = VOCABULARY,
 ) -> Model:
     """The model. Only counts of the chosen words of the bounded sample reach the driver."""
-    sample = labelled_sample(docs, labels, doc, text, label, size)
+    sample = stored(labelled_sample(docs, labels, doc, text, label, size))
     chosen = leanings(sample, vocabulary)
     index = {w: k for k, (w, _) in enumerate(chosen)}
 
@@ -124,6 +126,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), at, n], ["toxic", "at", "n"])
 
     rows = sample.mapInArrow(rows_of, "toxic boolean, at array<int>, n array<int>").collect()
+    rows.sort()  # sums of the fit do not depend on the order the rows came in
     leans = np.array([g for _, g in chosen]) > LEANING
     strength = np.array([sum(float(np.log1p(n)) for k, n in zip(r["at"], r["n"], strict=True) if leans[k]) for r in rows])
     toxic = np.array([r["toxic"] for r in rows], bool)
