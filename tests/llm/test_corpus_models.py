@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trialweave.llm import kneser_ney as kn
 from trialweave.llm import ordinal, pivotal
@@ -53,6 +54,25 @@ def test_rounding_is_unbiased(spark):
     assert all(v == pytest.approx(1, abs=0.35) for v in taken.values())
 
 
+@pytest.mark.parametrize("copies", [3, 1 << 16])
+def test_rows_of_one_id_or_none_spread_over_the_buckets(spark, copies):
+    """A third of the rows has no id, a third one id; many of them are equal."""
+    rows = [(k, "a", "w " * (1 + k % 9)) for k in range(300)]
+    rows += [(None, "a", "w " * (1 + k % 2)) for k in range(300)] + [(7, "a", "w w w")] * 300
+    docs = mix_docs(spark, rows).select("doc_id", "source", F.lit(3).cast("long").alias("size"))
+    marks = pivotal.marked_rows(docs, 1, copies)
+    assert marks.count() == len(rows) and marks.select("mark").distinct().count() == len(rows)
+    share = marks.groupBy(F.pmod("mark", F.lit(16)).alias("bucket")).count().agg(F.max("count")).first()[0]
+    assert share < 3 * len(rows) / 16
+    got = pivotal.pivotal_mix(mix_docs(spark, rows), bucket=8).collect()
+    again = pivotal.pivotal_mix(mix_docs(spark, rows).repartition(7), bucket=8).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 1 and all(0 <= r.taken <= 2 * r.size for r in got)
+    for part in ([r for r in got if r.doc_id is None], [r for r in got if r.doc_id == 7]):
+        wanted = sum(r.size for r in part) * got[0].target / got[0].source_size
+        assert len({r.taken / r.size for r in part}) > 1 and sum(r.taken for r in part) == pytest.approx(wanted, rel=0.2)
+
+
 def test_mix_of_nothing(spark):
     assert pivotal.pivotal_mix(mix_docs(spark, [])).count() == 0
     assert [r.taken for r in pivotal.pivotal_mix(mix_docs(spark, [(1, "a", None), (2, None, "")])).collect()] == [0, 0]
@@ -85,6 +105,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean(most) > np.mean(least)
 
 
+def test_sample_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d")] + [(1, "b")] * 500, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = [tuple(r) for r in ordinal.labelled_sample(docs, labels, "doc_id", "text", "toxic").collect()]
+    assert sorted(got) in ([(False, ""), (True, "a")], [(False, ""), (True, "b")])
+    again = ordinal.labelled_sample(docs.repartition(2), labels, "doc_id", "text", "toxic").collect()
+    assert sorted(got) == sorted(map(tuple, again))
+    assert ordinal.labelled_sample(docs, labels, "doc_id", "text", "toxic", size=1).count() == 1
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0)]):

@@ -7,8 +7,10 @@ once, and the fraction left of each bucket goes to the next level of a reduction
 That one takes its words in part, so that a source's taken words sum to its target.
 
 Defined results: null text has size 0 and takes 0. Null sources are one source and come last. Empty tables give empty
-results. Rows that repeat a doc_id are documents of their own. Chance comes from hashes of doc_id and a seed, so reruns
-agree. Other columns are not read.
+results. Rows that repeat a doc_id, or have none, are documents of their own. Chance comes from hashes of doc_id, size, a
+number among the rows equal in doc_id, source and size, and a seed. Such rows are alike in the result, so reruns agree, and any
+number of rows with one id, or without one, spreads over all buckets. Only sizes are taken from texts, of any length. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,20 @@ from trialweave.llm.common import hot_keys, known_key, split_join, stored, unit,
 
 WEIGHTS, BUDGET, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20
 BUCKET = 256
-DONE = "array<struct<doc_id:{0},size:bigint,whole:double,part:double>>"
+#: Equal rows that one task numbers at a time.
+COPIES = 1 << 16
+DONE = "array<struct<doc_id:{0},mark:bigint,size:bigint,whole:double,part:double>>"
+
+
+def marked_rows(sized: DataFrame, seed: int, copies: int = COPIES) -> DataFrame:
+    """The rows of `sized` (doc_id, source, size), each with a `mark`: equal rows are counted, then numbered in slices of `copies`."""
+    same = stored(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n")))
+    first = same.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(copies)) - 1)))
+    many = same.where(F.col("_n") > copies)
+    slices = many.withColumn("_slice", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("_n") - 1) / copies)))).repartition("_slice", "size")
+    start = F.col("_slice") * copies
+    more = slices.withColumn("_copy", F.explode(F.sequence(start, F.least(F.col("_n"), start + copies) - 1))).drop("_slice")
+    return first.unionByName(more).withColumn("mark", F.xxhash64("doc_id", "size", "_copy", F.lit(seed))).drop("_n", "_copy")
 
 
 def numbered(table: DataFrame, by: Sequence[Column]) -> DataFrame:
@@ -57,26 +72,26 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
 
 
 def _fold(doc_type: str, seed: int) -> str:
-    """SQL of the fold of a bucket's items (doc_id, size, whole, mass), 0 < mass < size, in their given order.
+    """SQL of the fold of a bucket's items (doc_id, mark, size, whole, mass), 0 < mass < size, in their given order.
 
     State: `left`, the item not yet integral (mass -1: none), and `done`. With x words to give to the one, or y to the
     other, before one of the two is 0 or full, the first happens with probability y / (x + y).
     """
-    item = f"struct<doc_id:{doc_type},size:bigint,whole:double,mass:double>"
-    none = f"CAST(named_struct('doc_id', NULL, 'size', 0L, 'whole', 0D, 'mass', -1D) AS {item})"
-    draw = f"(shiftrightunsigned(xxhash64(s.left.doc_id, i.doc_id, i.size, {seed}L), 11) / 9007199254740992D)"
+    item = f"struct<doc_id:{doc_type},mark:bigint,size:bigint,whole:double,mass:double>"
+    none = f"CAST(named_struct('doc_id', NULL, 'mark', 0L, 'size', 0L, 'whole', 0D, 'mass', -1D) AS {item})"
+    draw = f"(shiftrightunsigned(xxhash64(s.left.mark, i.mark, {seed}L), 11) / 9007199254740992D)"
     to_left, to_new = "least(s.left.size - s.left.mass, i.mass)", "least(s.left.mass, i.size - i.mass)"
     gives = f"{draw} * ({to_left} + {to_new}) < {to_new}"
     moved = f"CASE WHEN {gives} THEN {to_left} ELSE -{to_new} END"
 
     def with_mass(of: str, mass: str) -> str:
-        return f"named_struct('doc_id', {of}.doc_id, 'size', {of}.size, 'whole', {of}.whole, 'mass', {mass})"
+        return f"named_struct('doc_id', {of}.doc_id, 'mark', {of}.mark, 'size', {of}.size, 'whole', {of}.whole, 'mass', {mass})"
 
     def settled(of: str) -> str:  # 0 or full, within rounding
         return f"({of}.mass <= 1e-6 OR {of}.mass >= {of}.size - 1e-6)"
 
     def ended(of: str) -> str:
-        return f"named_struct('doc_id', {of}.doc_id, 'size', {of}.size, 'whole', {of}.whole, 'part', round({of}.mass / {of}.size) * {of}.size)"
+        return f"named_struct('doc_id', {of}.doc_id, 'mark', {of}.mark, 'size', {of}.size, 'whole', {of}.whole, 'part', round({of}.mass / {of}.size) * {of}.size)"
 
     pair = f"transform(array({moved}), m -> named_struct('a', {with_mass('s.left', 's.left.mass + m')}, 'b', {with_mass('i', 'i.mass - m')}))[0]"
     step = (
@@ -96,10 +111,11 @@ def pivotal_mix(
     weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, bucket: int = BUCKET,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (of the source), taken (words, repeats counted)."""
-    sized = stored(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), known_key(source).alias("_source"), words(text).alias("size")))
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
+    sized = stored(marked_rows(rows, seed).withColumn("_source", known_key("source")))
     doc_type = dict(sized.dtypes)["doc_id"]
     goals = stored(targets(sized, weights, budget, most))
-    rows = split_join(sized, goals, "_source", hot_keys(goals, "_source", "docs"), "doc_id")
+    rows = split_join(sized, goals, "_source", hot_keys(goals, "_source", "docs"), "mark")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wanted = F.col("size") * share
     whole = F.floor(share + 1e-12) * F.col("size")
@@ -107,28 +123,27 @@ def pivotal_mix(
     open_ = (F.col("mass") > 1e-6) & (F.col("mass") < F.col("size") - 1e-6)
     pieces = F.greatest(F.ceil(F.col("docs") / bucket), F.lit(1))
     placed = row.select(
-        "doc_id", "_source", "size", "whole", "mass", open_.alias("open"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), pieces).alias("bucket"),
+        "doc_id", "mark", "_source", "size", "whole", "mass", open_.alias("open"), F.pmod("mark", pieces).alias("bucket"),
     )
-    settled = placed.where("not open").select("_source", "doc_id", "size", (F.col("whole") + F.round(F.when(F.col("size") > 0, F.col("mass") / F.col("size")).otherwise(0.0)) * F.col("size")).alias("taken"))
+    settled = placed.where("not open").select("_source", "doc_id", "mark", "size", (F.col("whole") + F.round(F.when(F.col("size") > 0, F.col("mass") / F.col("size")).otherwise(0.0)) * F.col("size")).alias("taken"))
     taken = [settled]
-    level = placed.where("open").select("_source", "bucket", "doc_id", "size", "whole", "mass")
+    level = placed.where("open").select("_source", "bucket", "doc_id", "mark", "size", "whole", "mass")
     depth = 0
     while True:
-        item = F.struct("doc_id", "size", "whole", "mass")
+        item = F.struct("doc_id", "mark", "size", "whole", "mass")
         grouped = level.groupBy("_source", "bucket").agg(F.collect_list(item).alias("items"))
-        ordered = grouped.withColumn("items", F.transform(F.array_sort(F.transform("items", lambda x: F.struct(F.xxhash64(x["doc_id"], F.lit(seed)), x.alias("item")))), lambda x: x["item"]))
+        ordered = grouped.withColumn("items", F.transform(F.array_sort(F.transform("items", lambda x: F.struct(F.xxhash64(x["mark"], F.lit(seed)), x.alias("item")))), lambda x: x["item"]))
         folded = stored(ordered.select("_source", "bucket", F.expr(_fold(doc_type, seed + depth)).alias("end")))
         done = folded.select("_source", F.inline("end.done"))
-        taken.append(done.select("_source", "doc_id", "size", (F.col("whole") + F.col("part")).alias("taken")))
+        taken.append(done.select("_source", "doc_id", "mark", "size", (F.col("whole") + F.col("part")).alias("taken")))
         left = folded.where("end.left.mass >= 0").select("_source", F.floor(F.col("bucket") / bucket).alias("bucket"), "end.left.*")
         if not folded.where("bucket > 0").limit(1).count():
             break
         level, depth = left, depth + 1
-    last = left.select("_source", "doc_id", "size", (F.col("whole") + F.round("mass")).alias("taken"))
+    last = left.select("_source", "doc_id", "mark", "size", (F.col("whole") + F.round("mass")).alias("taken"))
     all_taken = last
     for part in taken:
         all_taken = all_taken.unionByName(part)
     named = F.when(F.col("_source") != "", F.substring(F.col("_source"), 2, 1 << 30))
-    out = split_join(all_taken, goals, "_source", hot_keys(goals, "_source", "docs"), "doc_id")
+    out = split_join(all_taken, goals, "_source", hot_keys(goals, "_source", "docs"), "mark")
     return out.select("doc_id", named.alias("source"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
